@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import once, table, trimmed
-from . import encodings, leakage, terms
+from ..session import once, stage, table, trimmed
+from . import encodings, leakage, packing, splitting, terms
 
 _SPACE = "[\\s\\x1c-\\x1f\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -15,6 +15,15 @@ def _trim(col: str) -> str:
     return f"regexp_replace({col}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 
 
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all oversized documentation chunks, with the chunk's trail."""
+    return splitting.split_oversized(table(spark, sf_dir, "doc_chunks"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_pieces(spark, sf_dir).where("piece_no = 0").select("chunk_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = once(table(spark, sf_dir, "doc_chunks").select("chunk_id", "mentions"), "chunk_id")
     mentions = chunks.select(F.col("chunk_id").alias("record_id"), F.explode("mentions").alias("m")).select("record_id", trimmed(F.col("m")).alias("term"), F.lit(1).alias("n"))
@@ -28,6 +37,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(mentions_marked, "mentions").unionByName(shaped(expected_marked, "lexicon"))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in containers of the `standard` capacity."""
+    windows = table(spark, sf_dir, "context_windows").where("label = 'standard'")
+    capacity = windows.agg(F.max("capacity_tokens")).first()[0]
+    counts = stage(packing.token_counts(table(spark, sf_dir, "documents")), "sizes")
+    return packing.pack(counts, capacity)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are, and how evenly their cost is spread."""
+    work = F.sum(F.col("n_tokens") + F.col("n_tokens").cast("double") * F.col("n_tokens") / 2048)
+    each = p7_packed(spark, sf_dir).groupBy("shard", "container").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"), work.alias("cost"))
+    return each.agg(
+        F.count("*").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("most_tokens"), F.sum("n_pieces").alias("n_pieces"), F.round(F.max("cost") / F.avg("cost"), 3).alias("cost_spread")
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -46,9 +72,10 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.restored_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p8_found, p8_cleaned, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p7_packed, p7_fill, p8_found, p8_cleaned, p9_found, p9_restored)}
 
 ORACLES = {
+    "p3_found": f"""SELECT DISTINCT chunk_id FROM doc_chunks WHERE length({_trim('text')}) > 1200""",
     "p4_found": f"""WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, mentions FROM doc_chunks),
 m AS (SELECT chunk_id, {_trim('m')} AS term FROM (SELECT chunk_id, unnest(mentions) AS m FROM c)),
 f AS (SELECT term, count(*) AS n_total, count(DISTINCT chunk_id) AS n_records FROM m WHERE term != '' GROUP BY ALL),
