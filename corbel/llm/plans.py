@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import once, stage, table, trimmed
-from . import encodings, leakage, packing, splitting, terms
+from . import canonical, encodings, leakage, packing, splitting, terms
 
 _SPACE = "[\\s\\x1c-\\x1f\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -37,6 +37,29 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(mentions_marked, "mentions").unionByName(shaped(expected_marked, "lexicon"))
 
 
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """alias_id, field, scope, value of every alias and component target as typed."""
+    rows = once(table(spark, sf_dir, "aliases").select("alias_id", "system_id", "kind", "alias", "target"), "alias_id")
+    scope = lambda what, col: F.concat(F.lit(f"{what}:"), col)
+    alias = rows.where("alias is not null").select("alias_id", F.lit("alias").alias("field"), scope("kind", F.col("kind")).alias("scope"), F.col("alias").alias("value"))
+    target = rows.where("target is not null and kind = 'components'")
+    return alias.unionByName(target.select("alias_id", F.lit("target").alias("field"), scope("system", F.col("system_id")).alias("scope"), F.col("target").alias("value")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _typed(spark, sf_dir)
+    lexicon = table(spark, sf_dir, "convention_lexicon").select(F.concat(F.lit("kind:"), "kind").alias("scope"), trimmed(F.col("expected")).alias("name"))
+    symbols = table(spark, sf_dir, "symbols").select(F.concat(F.lit("system:"), "system_id").alias("scope"), trimmed(F.col("name")).alias("name"))
+    mapped = canonical.map_to_names(typed, lexicon.unionByName(symbols).where("name != ''"))
+    return typed.join(mapped, ["scope", "value"], "left").select("alias_id", "field", F.coalesce("canonical", F.lit("(none)")).alias("canonical"))
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed values that no listed name was meant by, with how often they occur."""
+    lost = p5_found(spark, sf_dir).where("canonical = '(none)'").select("alias_id", "field")
+    return _typed(spark, sf_dir).join(lost, ["alias_id", "field"]).groupBy("field", "scope", "value").agg(F.count("*").alias("n"))
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in containers of the `standard` capacity."""
     windows = table(spark, sf_dir, "context_windows").where("label = 'standard'")
@@ -72,7 +95,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.restored_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p7_packed, p7_fill, p8_found, p8_cleaned, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p5_found, p5_unmatched, p7_packed, p7_fill, p8_found, p8_cleaned, p9_found, p9_restored)}
 
 ORACLES = {
     "p3_found": f"""SELECT DISTINCT chunk_id FROM doc_chunks WHERE length({_trim('text')}) > 1200""",
