@@ -10,16 +10,11 @@ from ..operators.nested import FlatTables, Level, flatten_records
 from ..operators.orphans import orphan_references, orphans_by_period
 from ..operators.references import ref_key, ref_kind, token_links, token_nodes
 from ..session import once, stage, table, trimmed
+from ..sources.manifests import manifest_tables
 
-MANIFEST = (Level("modules", "module", (Level("declarations", "declaration", (Level("attributes", "attribute"), Level("members", "member"))),)),)
 MODULE = (Level("exports", "export", (Level("props", "prop"), Level("events", "event"))),)
 
 
-def manifest_tables(spark: SparkSession, sf_dir: str) -> FlatTables:
-    df = once(table(spark, sf_dir, "custom_elements").select("record_id", "manifest"), "record_id")
-    return flatten_records(df, "record_id", F.col("manifest"), MANIFEST)
-
-
 def module_tables(spark: SparkSession, sf_dir: str) -> FlatTables:
     df = once(table(spark, sf_dir, "catalog_modules").select("module_id", "exports"), "module_id")
     return flatten_records(df, "module_id", F.to_json(F.struct("exports")), MODULE)
