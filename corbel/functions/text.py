@@ -68,7 +68,7 @@ def prop_key(c: Column) -> Column:
 
 def literal_union(c: Column) -> Column:
     """Members of a type such as 'sm' | 'md'; null for any other type."""
-    parts = F.filter(F.transform(F.split(c, r"\|"), F.trim), lambda p: p != "undefined")
+    parts = F.filter(F.transform(F.split(c, r"\|"), lambda p: F.trim(p)), lambda p: p != "undefined")
     quoted = r"^(['\"])(.*)\1$"
     return F.when((F.size(parts) > 0) & F.forall(parts, lambda p: p.rlike(quoted)), F.transform(parts, lambda p: F.regexp_extract(p, quoted, 2)))
 
