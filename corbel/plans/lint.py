@@ -73,7 +73,7 @@ ORACLES = {
     "code_elements": f"WITH {sql.CHUNKS}, {_SNIPPETS} SELECT snippet_id, line, tag, array_to_string(list_transform(at_, lambda a: replace(a, '\"', '')), ' ') AS attrs FROM el",
     "code_languages": f"WITH {sql.CHUNKS}, {_SNIPPETS} SELECT CASE WHEN NOT regexp_matches(code, '\\b(import|export|function)\\b|=>|\\{{') AND regexp_matches(code, '<[a-zA-Z]') THEN 'html' ELSE 'tsx' END AS language, count(*) AS n FROM sn GROUP BY ALL",
     "used_components": f"WITH {_REAL} SELECT snippet_id, string_agg(tag, ' ' ORDER BY tag) AS components FROM (SELECT DISTINCT snippet_id, tag FROM rs WHERE display_name IS NOT NULL OR known IS NOT NULL) GROUP BY ALL",
-    "element_findings": f"""WITH {_REAL}, {sql.ALIASES}, nm AS (SELECT *, list_filter(list_transform(props, lambda p: p.name), lambda n: n IS NOT NULL) AS ns FROM rs WHERE display_name IS NOT NULL),
+    "element_findings": f"""WITH {_REAL}, {sql.ALIASES}, nm AS (SELECT *, coalesce(list_filter(list_transform(props, lambda p: p.name), lambda n: n IS NOT NULL), CAST([] AS VARCHAR[])) AS ns FROM rs WHERE display_name IS NOT NULL),
 al2 AS (SELECT *, list_sort(list_distinct(flatten(list_transform(ns, lambda n: [n, {_CAMEL.format('n')}, {_KEBAB.format('n')}])))) || coalesce(inherited_props, CAST([] AS VARCHAR[])) AS allowed FROM nm),
 at1 AS (SELECT *, string_split(a, '="')[1] AS name, CASE WHEN contains(a, '="') THEN regexp_extract(a, '="(.*)"$', 1) END AS value FROM (SELECT *, unnest(at_) AS a FROM al2)),
 at2 AS (SELECT * FROM at1 WHERE NOT list_contains({_UNIVERSAL}, name) AND NOT regexp_matches(name, '^(data-|aria-|on[A-Z]|on-|@)')),
