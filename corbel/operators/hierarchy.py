@@ -99,11 +99,16 @@ def resolve_links(links: DataFrame, block_links: int = 20_000, close_links: int
                 "id", F.when(F.col("looped"), F.col("id")).otherwise(F.col("root")).alias("parent"), F.when(F.col("looped"), F.lit(1)).otherwise(F.col("steps")).cast("long").alias("steps")
             )
         else:
+            # A link to itself is a closed loop: it is settled, and links to it become such links.
+            closed = now.where("id = parent")
+            levels.append(("spliced", closed.select("id", F.col("parent").alias("root"), "steps", F.lit(True).alias("looped"))))
+            rest = now.where("id != parent").join(closed.select(F.col("id").alias("_c")), F.col("parent") == F.col("_c"), "left")
+            rest = stage(rest.select("id", F.when(F.col("_c").isNotNull(), F.col("id")).otherwise(F.col("parent")).alias("parent"), "steps"), "rest")
             coin = lambda c: F.pmod(F.xxhash64(c, F.lit(round_)), F.lit(2))
-            taken = now.where((coin(F.col("id")) == 0) & (coin(F.col("parent")) == 1) & (F.col("id") != F.col("parent")))
-            over = taken.select(F.col("id").alias("_id"), F.col("parent").alias("_parent"), F.col("steps").alias("_steps"))
+            taken = rest.where((coin("id") == 0) & (coin("parent") == 1) & (F.col("id") != F.col("parent")))
             levels.append(("spliced", taken.select("id", F.col("parent").alias("root"), "steps", F.lit(False).alias("looped"))))
-            kept = now.join(over.select(F.col("_id").alias("id")), "id", "left_anti")
+            over = taken.select(F.col("id").alias("_id"), F.col("parent").alias("_parent"), F.col("steps").alias("_steps"))
+            kept = rest.join(over.select(F.col("_id").alias("id")), "id", "left_anti")
             now = kept.join(over, kept["parent"] == over["_id"], "left").select(
                 "id", F.coalesce("_parent", "parent").alias("parent"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")
             )

@@ -98,7 +98,7 @@ _RGB = "{" + ", ".join(f"'{k}': {_channel('trim(value)', i)}" for i, k in ((1, "
 _PX = "CASE WHEN regexp_full_match(trim(value), '(?i)-?\\d*\\.?\\d+(px|rem|)') THEN TRY_CAST(regexp_extract(trim(value), '^-?\\d*\\.?\\d+') AS DOUBLE) * CASE WHEN lower(trim(value)) LIKE '%rem' THEN 16 ELSE 1 END END"
 
 
-def _rule(category: str, names: str, pairs) -> str:
+def name_rule(category: str, names: str, pairs) -> str:
     tests = [f"list_has_any(s, {names.split()!r})"] if names else []
     tests += [f"contains(f, ' {a} {b} ')" for a, b in pairs]
     both = " AND NOT list_contains(s, 'color')" if category.endswith("*") else ""
@@ -127,7 +127,7 @@ m AS (SELECT DISTINCT query_id, token_id FROM q JOIN k USING (system_id, word)),
 z AS (SELECT query_id, m.token_id, name, {_TOP.format("array_to_string(list_transform(regexp_extract_all(lower(name), '\\d+|\\D+'), lambda x: CASE WHEN regexp_full_match(x, '\\d+') THEN lpad(x, 10, '0') ELSE x END), ''), name, m.token_id")} FROM m JOIN tk ON tk.token_id = m.token_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, token_id, name FROM z WHERE rank <= 40""",
     "token_categories": f"""WITH {sql.TOKENS}, a AS (SELECT category, coalesce(value, '') AS value, {sql.segments("regexp_replace(name, '^--', '')")} AS s FROM tk), b AS (SELECT *, ' ' || array_to_string(s, ' ') || ' ' AS f FROM a)
-SELECT category, CASE {' '.join(_rule(*r) for r in NAME_RULES)} WHEN regexp_matches(lower(trim(value)), '^(#[0-9a-f]{{3,8}}$|(rgb|rgba|hsl|hsla|oklch|oklab)\\(|(black|white|transparent|currentcolor)$)') THEN 'color' ELSE 'other' END AS classified, count(*) AS n FROM b GROUP BY ALL""",
+SELECT category, CASE {' '.join(name_rule(*r) for r in NAME_RULES)} WHEN regexp_matches(lower(trim(value)), '^(#[0-9a-f]{{3,8}}$|(rgb|rgba|hsl|hsla|oklch|oklab)\\(|(black|white|transparent|currentcolor)$)') THEN 'color' ELSE 'other' END AS classified, count(*) AS n FROM b GROUP BY ALL""",
     "token_counts": f"WITH {sql.TOKENS} SELECT system_id, category, count(*) AS n, count(*) FILTER (css_var IS NULL) AS n_without_css_var FROM tk GROUP BY ALL",
     "token_lines": f"""WITH {sql.TOKENS}, a AS (SELECT token_id, CASE WHEN css_var IS NOT NULL THEN 'var(' || css_var || ')' ELSE name END AS write, coalesce(value, '') AS v, array_to_string(list_transform(values_by_theme, lambda x: x.theme || '=' || x.value), ', ') AS t FROM tk)
 SELECT token_id, write, '- ' || write || ': ' || v || CASE WHEN t != '' THEN ' (' || t || ')' ELSE '' END AS line FROM a""",

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors, once a session, wherever they were started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corbel_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="corbel-"), "corbel-package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(target)
+    sc._corbel_shipped = True
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corbel/{name}-{uuid.uuid4().hex}"
 
