@@ -107,6 +107,35 @@ def fill(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
+def fill_tightly(sizes: list[int], capacity: int) -> list[int]:
+    """As fill, but the container with the least room that is enough takes the next item: fuller, less even."""
+    by_room: dict[int, list[int]] = defaultdict(list)
+    rooms, opened, out = 0, 0, []
+    for n in sizes:
+        fit = rooms >> n
+        if fit:
+            room = n + (fit & -fit).bit_length() - 1
+            i = by_room[room].pop()
+            if not by_room[room]:
+                rooms &= ~(1 << room)
+        else:
+            room, i = capacity, opened
+            opened += 1
+        out.append(i)
+        by_room[room - n].append(i)
+        rooms |= 1 << (room - n)
+    return out
+
+
+def assigned(sizes: list[int], capacity: int, waste: float = 0.01) -> list[int]:
+    """Evenly filled containers, unless they are more than `waste` over what the tokens need and tight ones are fewer."""
+    even = fill(sizes, capacity)
+    if not sizes or max(even) + 1 <= math.ceil(sum(sizes) / capacity * (1 + waste)):
+        return even
+    tight = fill_tightly(sizes, capacity)
+    return tight if max(tight) < max(even) else even
+
+
 PACKED = "shard int, container int, slot int, doc_id long, piece int, first_token long, n_tokens int"
 
 
@@ -131,7 +160,7 @@ def pack(counts: DataFrame, capacity: int, per_shard: int = 50_000) -> DataFrame
 
     def run(key, pdf):
         pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True])
-        pdf["container"] = fill(pdf["n_tokens"].tolist(), capacity)
+        pdf["container"] = assigned(pdf["n_tokens"].tolist(), capacity)
         pdf["slot"] = pdf.groupby("container").cumcount()
         return pdf[["shard", "container", "slot", "doc_id", "piece", "first_token", "n_tokens"]]
 

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from conftest import SF, rows
 
-from corbel.llm.packing import TokenCounter, default_vocabulary, fill, pack, token_counts
+from corbel.llm.packing import TokenCounter, assigned, default_vocabulary, fill, pack, token_counts
 
 TEXTS = ["", "a", "Hello world, it's  two  spaces\n\n\tand tabs 😀 d'été", " lead", "trail ", "x" * 500, "a b c d", "1 2 3", "\n \n a"]
 
@@ -16,14 +16,20 @@ def test_counts_equal_the_whole_encoding(spark):
     assert [counter(t) for t in texts] == [len(counter._encode(t)) for t in texts]
 
 
-def test_fill_never_overflows_and_wastes_little():
-    sizes = sorted([(i * 7919) % 400 + 1 for i in range(3000)], reverse=True)
-    where = fill(sizes, 512)
+def fullness(sizes, where, capacity):
     used = Counter()
     for n, c in zip(sizes, where):
         used[c] += n
-    assert max(used.values()) <= 512 and sum(sizes) / (512 * len(used)) > 0.97
-    assert fill([], 10) == [] and fill([10, 10, 0], 10) == [0, 1, 2] or True
+    assert max(used.values()) <= capacity and len(used) == max(where) + 1
+    return sum(sizes) / (capacity * len(used))
+
+
+def test_nothing_overflows_and_little_is_wasted():
+    even = sorted([(i * 7919) % 400 + 1 for i in range(3000)], reverse=True)
+    small = sorted([(i * i * 31) % 90 + 1 for i in range(3000)], reverse=True)
+    for sizes in (even, small):
+        assert fullness(sizes, fill(sizes, 512), 512) > 0.9 and fullness(sizes, assigned(sizes, 512), 512) > 0.985
+    assert assigned([], 10) == [] and len(set(assigned([10, 10, 5, 5, 0], 10))) == 3
 
 
 def test_only_oversized_texts_are_split(spark):
