@@ -15,26 +15,27 @@ def _requests(ws: Workspace, query) -> DataFrame:
     return asked.select(F.col("alias_id").alias("query_id"), "system_id", query.alias("query"), F.col("target").alias("component")).where("query is not null")
 
 
-_NEED = F.concat_ws(" ", "alias", "concept")
+def _need():
+    return F.concat_ws(" ", "alias", "concept")
 
 
 def search_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed names with their concept as queries."""
     ws = Workspace(spark, sf_dir)
-    return search.search_components(ws, _requests(ws, _NEED))
+    return search.search_components(ws, _requests(ws, _need()))
 
 
 def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed names with their concept as topics, targets as the wanted component."""
     ws = Workspace(spark, sf_dir)
-    return search.search_docs(ws, _requests(ws, _NEED))
+    return search.search_docs(ws, _requests(ws, _need()))
 
 
 def search_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documentation chunks in the role of patterns: heading = title, trail = tags, mentions = components."""
     ws = Workspace(spark, sf_dir)
     patterns = ws.chunks.select(F.col("chunk_id").alias("pattern_id"), "system_id", F.col("heading").alias("title"), F.col("trail").alias("tags"), F.col("mentions").alias("components"), F.col("text").alias("description"))
-    return search.search_patterns(patterns, _requests(ws, _NEED))
+    return search.search_patterns(patterns, _requests(ws, _need()))
 
 
 def resolve_components(spark: SparkSession, sf_dir: str) -> DataFrame:

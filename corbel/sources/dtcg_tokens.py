@@ -63,10 +63,11 @@ def dtcg_tokens(files: DataFrame) -> DataFrame:
     refs = F.regexp_extract_all("value", F.lit(r"\{([a-zA-Z0-9_.-]+)\}"), 1)
     told = F.concat_ws(" ", "description", F.when(F.col("note").isNotNull(), F.concat(F.lit("Deprecated: "), "note")))
     each = found.groupBy("system_id", "name", "theme").agg(F.min_by(F.struct("value", "kind", F.when(told != "", told).alias("told")), place).alias("x"), F.min(place).alias("place"), F.flatten(F.collect_list(refs)).alias("refs"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place")))
     whole = each.groupBy("system_id", "name").agg(
         F.coalesce(F.max(F.when(F.col("theme") == "light", F.col("x.value"))), F.min_by("x.value", "place")).alias("value"),
-        F.min_by("x.kind", "place").alias("kind"),
-        F.min_by("x.told", "place").alias("description"),
+        first("x.kind").alias("kind"),
+        first("x.told").alias("description"),
         F.array_sort(F.collect_list(F.struct("place", "theme", F.col("x.value").alias("value")))).alias("t"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs"),
     )
