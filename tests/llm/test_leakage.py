@@ -4,7 +4,7 @@ import random
 
 from conftest import rows
 
-from corbel.llm.leakage import leaks, without_leaks, word_spans, words
+from corbel.llm.leakage import leaked_spans, leaks, without_leaks, word_spans, words
 
 PASSAGE = "Één café zählt heute die alten Boote und morgen noch zwei neue Räder am Ufer bei Nacht und Nebel im Herbst"
 
@@ -14,7 +14,7 @@ def frames(spark, docs, items):
 
 
 def test_words():
-    assert words("**Ｆull** Ｗidth é_É ①½ don’t") == ["full", "width", "e", "e", "11⁄2".replace("⁄", ""), "don", "t"] or words("é_É") == ["e", "e"]
+    assert words("**Ｆull** Ｗidth é_É ①½ don’t") == ["full", "width", "e", "e", "11", "2", "don", "t"]
     text = "A “b–c” déjà"
     assert [text[a:b] for a, b in word_spans(text)] == ["A", "b", "c", "déjà"]
 
@@ -39,8 +39,6 @@ def test_against_brute_force_in_one_and_many_blocks(spark):
     want = sorted((a, b) for a, d in enumerate(docs) for b, i in enumerate(items) if grams(d) & grams(i))
     d, i = frames(spark, docs, items)
     assert sorted(rows(leaks(d, i, 5))) == want
-    from corbel.llm.leakage import leaked_spans
-
     assert sorted(set(rows(leaked_spans(d, i, 5, block_words=20).select("doc_id", "item_id")))) == want
 
 
