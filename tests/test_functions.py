@@ -14,7 +14,7 @@ def of(spark, function, *values, kind="string"):
 
 
 def test_words_and_segments(spark):
-    assert of(spark, text.words, "Für the Acme-Button 2!", None, "") == [("f", "r", "the", "acme", "button", "2"), (), ()]
+    assert of(spark, text.words, "Für the Demo-Button 2!", None, "") == [("f", "r", "the", "demo", "button", "2"), (), ()]
     assert of(spark, text.segments, "letterSpacing-focus_x.URL", None) == [("letter", "spacing", "focus", "x", "u", "r", "l"), ()]
     assert of(spark, text.path_words, "zIndex.URLBar") == [("z", "index", "urlbar")]
 

@@ -74,9 +74,9 @@ def test_chunks_are_cut(spark):
 
 
 def test_mentions(spark):
-    names = spark.createDataFrame([("s", "Box"), ("s", "acme-button"), ("s", "acme-button-group"), ("t", "Pill"), (None, "Box")], "system_id string, name string")
-    texts = spark.createDataFrame([(1, "s", "éBoxé `acme-button-group`, Boxes"), (2, "s", "Pill x_Box --acme-button--"), (3, "t", "Pill"), (4, "s", None)], "id int, system_id string, text string")
-    assert sorted(rows(markdown.mentions(texts, names).select("id", "name"))) == [(1, "Box"), (1, "acme-button"), (1, "acme-button-group"), (2, "acme-button"), (3, "Pill")]
+    names = spark.createDataFrame([("s", "Box"), ("s", "demo-button"), ("s", "demo-button-group"), ("t", "Pill"), (None, "Box")], "system_id string, name string")
+    texts = spark.createDataFrame([(1, "s", "éBoxé `demo-button-group`, Boxes"), (2, "s", "Pill x_Box --demo-button--"), (3, "t", "Pill"), (4, "s", None)], "id int, system_id string, text string")
+    assert sorted(rows(markdown.mentions(texts, names).select("id", "name"))) == [(1, "Box"), (1, "demo-button"), (1, "demo-button-group"), (2, "demo-button"), (3, "Pill")]
 
 
 def test_patterns(spark):
@@ -87,11 +87,11 @@ def test_patterns(spark):
 
 
 def test_changelogs(spark):
-    text = "# Log\nBox early\n## 1.0 ##\n- Box one\n### Box\n- acme-button and Box"
+    text = "# Log\nBox early\n## 1.0 ##\n- Box one\n### Box\n- demo-button and Box"
     docs = spark.createDataFrame([(1, "s", text)], "doc_id int, system_id string, text string")
-    names = spark.createDataFrame([("s", "Box"), ("s", "acme-button")], "system_id string, name string")
+    names = spark.createDataFrame([("s", "Box"), ("s", "demo-button")], "system_id string, name string")
     got = sorted(rows(markdown.changelog_mentions(docs, names, 2)))
-    assert [(r[1], r[2], r[4], r[5]) for r in got] == [("Box", 1, 2, ""), ("Box", 2, 4, "1.0"), ("acme-button", 1, 6, "Box")]
+    assert [(r[1], r[2], r[4], r[5]) for r in got] == [("Box", 1, 2, ""), ("Box", 2, 4, "1.0"), ("demo-button", 1, 6, "Box")]
 
 
 def test_markup():
