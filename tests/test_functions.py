@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from corbel.functions import classify, color, text
-from corbel.session import once, trimmed
+from corbel.session import clear_staged, once, shared_dir, stage, trimmed
 
 
 def of(spark, function, *values, kind="string"):
@@ -74,3 +74,10 @@ def test_trim_and_once(spark):
     assert of(spark, trimmed, " \t a b \n", "", None) == ["a b", "", None]
     df = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (None, "x", 1), (None, "x", 1), (None, "y", 1)], "id int, v string, n int")
     assert sorted(r[1] for r in rows(once(df.select("id", "v"), "id"))) == ["a", "x", "y"]
+
+
+def test_staged_tables_can_be_cleared(spark):
+    kept = stage(spark.createDataFrame([(1,)], "a int"), "kept")
+    assert rows(kept) == [(1,)]
+    clear_staged(spark)
+    assert not spark._jvm.java.io.File(f"{shared_dir(spark)[7:]}/corbel-{spark.sparkContext.applicationId}").exists()
