@@ -8,7 +8,8 @@ Two kinds of damage are told apart:
 * Bytes of one 8-bit encoding read as another leave single wrong letters. The
   garbled words are precomputed the other way round: every suspicious word is
   decoded back under all pairs, and a pair holds where the whole corpus knows the
-  restored word far better than the garbled one (word counts over all documents).
+  restored word far better than the garbled one, by itself or together with the
+  other words of its text (counts over documents, and over distinct texts).
 """
 
 from __future__ import annotations
@@ -230,29 +231,35 @@ _EDGE = re.compile(r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 
 
 @lru_cache(200_000)
-def restored_words(word: str) -> tuple[str, ...]:
-    """What an 8-bit mix-up could have made this word of: only readings in natural spelling.
+def paired_readings(word: str) -> tuple[tuple[int, str], ...]:
+    """What each 8-bit mix-up could have made this word of: pair (-1: a part was lost) and reading.
 
-    Words of ordinary signs alone have none, and a single letter none but signs.
+    Only readings in natural spelling. Words of ordinary signs alone have none,
+    and a single letter none but signs.
     """
     if all(c in SIGNS for c in word):
         return ()
-    out = [w for w in _refilled(word) if _natural(w)]
-    for wrong in EIGHT_BIT:
+    out = [(-1, w) for w in _refilled(word) if _natural(w)]
+    for i, wrong in enumerate(EIGHT_BIT):
         try:
             raw = word.encode(wrong)
         except UnicodeEncodeError:
             continue
-        for right in EIGHT_BIT:
+        for j, right in enumerate(EIGHT_BIT):
             if right == wrong:
                 continue
             try:
                 was = raw.decode(right)
             except UnicodeDecodeError:
                 continue
-            if was != word and was not in out and _natural(was):
-                out.append(was)
-    return tuple(w for w in out if len(word) > 1 or not w.isalpha())
+            if was != word and _natural(was):
+                out.append((i * len(EIGHT_BIT) + j, was))
+    return tuple((pair, w) for pair, w in out if len(word) > 1 or not w.isalpha())
+
+
+def restored_words(word: str) -> tuple[str, ...]:
+    """The readings of a word under any pair."""
+    return tuple(dict.fromkeys(was for _, was in paired_readings(word)))
 
 
 def _refilled(word: str) -> list[str]:
@@ -287,8 +294,10 @@ def _natural(word: str) -> bool:
 # A sign by itself between two words, or between two numbers.
 _ALONE = re.compile(r"([^\s,:;]) ([^\x00-\x7f\s]) (?=(\S))")
 
-_PASS = "doc_id long, word string, sizes boolean, n long, n_spans int"
-_PASS_ARROW = pa.schema([("doc_id", pa.int64()), ("word", pa.string()), ("sizes", pa.bool_()), ("n", pa.int64()), ("n_spans", pa.int32())])
+_PASS = "doc_id long, content long, word string, sizes boolean, n long, n_texts long, n_spans int"
+_PASS_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("content", pa.int64()), ("word", pa.string()), ("sizes", pa.bool_()), ("n", pa.int64()), ("n_texts", pa.int64()), ("n_spans", pa.int32())]
+)
 
 
 def suspicious_words(text: str) -> tuple[set[str], list[tuple[str, bool]]]:
@@ -300,72 +309,109 @@ def suspicious_words(text: str) -> tuple[set[str], list[tuple[str, bool]]]:
     if any("`" in w for w in tokens):
         tokens = {w for w in _CODE.sub(" ", text).split() if not w.isascii()}
     seen = {_EDGE.sub("", w) for w in tokens}
-    maybe = [(word, False) for word in seen if len(word) > 1 and restored_words(word)]
+    maybe = [(word, False) for word in seen if len(word) > 1 and paired_readings(word)]
     if any(len(w) == 1 for w in tokens):
         alone = {(m[2], m[1].isdigit() and m[3].isdigit()) for m in _ALONE.finditer(text)}
-        maybe += [(word, sizes) for word, sizes in alone if restored_words(word)]
+        maybe += [(word, sizes) for word, sizes in alone if paired_readings(word)]
     return seen, maybe
 
 
 def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One reading of the texts: garbled spans per document, word counts, suspicious words."""
+    """One reading of the texts: garbled spans per document, word counts, suspicious words.
+
+    Words are counted over documents, and over distinct texts by their first documents.
+    """
     known: Counter = Counter()
+    once: Counter = Counter()
 
     def rows(cols):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PASS_ARROW)], schema=_PASS_ARROW)
 
     def counted():
         n = len(known)
-        return rows([[None] * n, list(known), [None] * n, list(known.values()), [None] * n])
+        return rows([[None] * n, [None] * n, list(known), [None] * n, list(known.values()), [once[w] for w in known], [None] * n])
 
     for batch in batches:
         cols: list[list] = [[] for _ in _PASS_ARROW]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc, text, content, first in zip(*(batch.column(c).to_pylist() for c in range(4))):
             if not text or (text.isascii() and "&#" not in text):
                 continue
             text = _unescaped(text)
             n = len(garbled_spans(text)) or len(_LONE_A.findall(text))
             seen, maybe = suspicious_words(text)
             known.update(seen)
-            for row in ([(doc, None, None, None, n)] if n else []) + [(doc, w, sizes, None, None) for w, sizes in maybe]:
+            if first:
+                once.update(seen)
+            for row in ([(doc, None, None, None, None, None, n)] if n else []) + [(doc, content, w, sizes, None, None, None) for w, sizes in maybe]:
                 for to, value in zip(cols, row):
                     to.append(value)
         yield rows(cols)
         if len(known) > 200_000:
             yield counted()
             known.clear()
+            once.clear()
     yield counted()
 
 
 def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each suspicious word with everything it may have been."""
-    schema = pa.schema([("word", pa.string()), ("sizes", pa.bool_()), ("was", pa.string())])
+    """Each suspicious word with everything it may have been, by pair of encodings; readings that are garbled themselves are none."""
+    schema = pa.schema([("word", pa.string()), ("sizes", pa.bool_()), ("pair", pa.int32()), ("was", pa.string())])
     for batch in batches:
         rows = [
-            (word, sizes, was)
+            (word, sizes, pair, was)
             for word, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for was in restored_words(word)
-            if len(word) > 1 or (was == "×") == sizes
+            for pair, was in paired_readings(word)
+            if (len(word) > 1 or (was == "×") == sizes) and not garbled_spans(was)
         ]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, schema)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, schema)], schema=schema)
+
+
+def _first_of_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, text, content (a hash of the text), and whether the document is the first with that text."""
+    hashed = docs.withColumn("content", F.xxhash64("text"))
+    first = hashed.groupBy("content").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").select("content", "_first")
+    return hashed.join(stage(first, "copies"), "content", "left").select("doc_id", "text", "content", F.coalesce(F.col("doc_id") == F.col("_first"), F.lit(True)).alias("first"))
+
+
+def _together(maybe: DataFrame, judged: DataFrame, times: int, at_least: int) -> DataFrame:
+    """The readings that the suspicious words of whole texts prove together.
+
+    A text is suspected under a pair where the readings of two or more of its
+    words are, multiplied, `times` as frequent as the words. What suspected texts
+    hold does not count against a reading: a word is garbled where the readings,
+    or the suspected texts with it, are `times` as many as its other texts.
+    """
+    key = ["word", "sizes", "pair"]
+    odds = judged.where(F.col("right_texts") >= at_least).groupBy(*key, "n_texts").agg(F.max_by(F.struct("was", "n_right", "right_texts"), F.struct("right_texts", "was")).alias("r"))
+    odds = stage(odds.select(*key, "n_texts", "r.*").withColumn("odds", F.log(F.col("right_texts") / F.greatest("n_texts", F.lit(1)))), "odds")
+    held = stage(maybe.select("content", "word", "sizes").distinct().join(odds.select(*key, "odds"), ["word", "sizes"]), "held")
+    text = held.groupBy("content", "pair").agg(F.countDistinct("word").alias("k"), F.sum("odds").alias("odds"))
+    suspected = text.where((F.col("k") > 1) & (F.col("odds") >= F.log(F.lit(float(times))) - 1e-9)).select("content", "pair")
+    inside = held.join(suspected, ["content", "pair"]).groupBy(*key).agg(F.count("*").alias("inside"))
+    other = times * (F.col("n_texts") - F.col("inside"))
+    return odds.join(inside, key).where((F.col("right_texts") > F.col("n_texts")) & (other <= F.greatest("right_texts", "inside")))
 
 
 def find_garbled(docs: DataFrame, times: int = 10, at_least: int = 3) -> tuple[DataFrame, DataFrame]:
     """The affected documents (doc_id, n_spans), and the garbled words (doc_id, word, was).
 
-    docs(doc_id, text) is read once. A word counts as garbled where at least
-    `at_least` documents, and at least `times` as many as have the word itself,
-    have what it would be under the right encoding. Null and empty texts give no
+    docs(doc_id, text) is read once for its words. A word counts as garbled where
+    at least `at_least` documents or distinct texts, and at least `times` as many
+    as have the word itself, have what it would be under the right encoding; or
+    where the words of whole texts prove it together. Null and empty texts give no
     rows; repeated doc_ids count as one document; a null doc_id is left out.
     """
-    read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = stage(read.mapInArrow(_pass, _PASS), "encodings")
+    read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(r"[^\x00-\x7f]|&#"))
+    seen = stage(_first_of_copies(read).mapInArrow(_pass, _PASS), "encodings")
     spans = seen.where("n_spans is not null").groupBy("doc_id").agg(F.max("n_spans").alias("n_spans"))
-    known = seen.where("n is not null").groupBy("word").agg(F.sum("n").alias("n"))
-    maybe = seen.where("sizes is not null").select("doc_id", "word", "sizes")
-    pairs = maybe.select("word", "sizes").distinct().mapInArrow(_readings, "word string, sizes boolean, was string")
-    right = known.select(F.col("word").alias("was"), F.col("n").alias("n_right")).where(F.col("n_right") >= at_least)
-    proven = pairs.join(right, "was").join(known, "word").where(F.col("n_right") >= times * F.col("n"))
+    known = seen.where("n is not null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_texts").alias("n_texts"))
+    maybe = seen.where("sizes is not null").select("doc_id", "content", "word", "sizes")
+    pairs = maybe.select("word", "sizes").distinct().mapInArrow(_readings, "word string, sizes boolean, pair int, was string")
+    right = known.select(F.col("word").alias("was"), F.col("n").alias("n_right"), F.col("n_texts").alias("right_texts")).where(F.col("n_right") >= at_least)
+    judged = stage(pairs.join(right, "was").join(known, "word"), "readings")
+    by_texts = (F.col("right_texts") >= at_least) & (F.col("right_texts") >= times * F.col("n_texts"))
+    alone = judged.where((F.col("n_right") >= times * F.col("n")) | by_texts)
+    proven = alone.select("word", "sizes", "was", "n_right").unionByName(_together(maybe, judged, times, at_least).select("word", "sizes", "was", "n_right"))
     best = proven.groupBy("word", "sizes").agg(F.max_by("was", F.struct("n_right", "was")).alias("was"))
     return spans, maybe.join(best, ["word", "sizes"]).select("doc_id", "word", "was").distinct()
 

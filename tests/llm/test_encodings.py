@@ -53,3 +53,13 @@ def test_restored_documents(spark):
     df, at = docs(spark)
     got = {r[0]: r[1] for r in rows(restored_documents(df))}
     assert got[at] == "Zespół sprawdził już to" and got[at + 1] == "We’ve seen 64 × 10 px" and got[at + 2] == "It is café time"
+
+
+def test_frequent_mixups_and_copies_do_not_outvote_themselves(spark):
+    good = ["Zespół już wczoraj sprawdził też całość nr %d" % i for i in range(20)]
+    bad = [t.encode("cp1250").decode("cp1252") for t in good[:10]]
+    copied = ["We’ve seen %d" % i for i in range(12)] + ["WeÆve lost it"] * 3
+    df = spark.createDataFrame(list(enumerate(good + bad + copied)), "doc_id long, text string")
+    assert sorted(r[0] for r in rows(garbled_documents(df))) == [*range(20, 30), 42, 43, 44]
+    got = {r[0]: r[1] for r in rows(restored_documents(df))}
+    assert [got[i] for i in range(20, 30)] == good[:10] and got[44] == "We’ve lost it"
