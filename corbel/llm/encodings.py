@@ -92,8 +92,6 @@ def garbled_sequences() -> dict[str, tuple[str, str, bool]]:
         western = enc in ("cp1252", "latin_1")
         for ch in chars:
             raw = ch.encode()
-            if len(raw) == 4 and not western:
-                continue
             if enc in EAST:
                 for tail in [b""] if len(raw) % 2 == 0 else [bytes([a]) for a in range(0x40, 0x7B)]:
                     try:
@@ -111,7 +109,7 @@ def garbled_sequences() -> dict[str, tuple[str, str, bool]]:
                 seq = _read(raw, enc, lost)
                 if len(seq) < 2 or seq.isascii() or any(c.isascii() for c in seq):
                     continue
-                add(seq, ch if lost is None or len(seq) == len(raw) and "�" not in seq else "", enc, (western and seq[0] not in _MAY_LEAD) or proof(seq))
+                add(seq, ch if lost is None or len(seq) == len(raw) and "�" not in seq else "", enc, (western and seq[0] not in _MAY_LEAD) or (proof(seq) and (len(raw) < 4 or len(seq) > 2)))
                 if western:
                     twice = _read(seq.encode(), enc, lost)
                     add(twice, ch if lost is None else "", enc, True)

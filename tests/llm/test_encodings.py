@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from conftest import rows
 
-from corbel.llm.encodings import find_garbled, garbled_documents, garbled_spans, restore, restored_documents
+from corbel.llm.encodings import EAST, MISREAD, _read, find_garbled, garbled_documents, garbled_spans, restore, restored_documents
 
 GOOD = "Größere Übung – “l’été” à Łódź, ¿qué año? Привет, мир… 200 × 40"
 
@@ -18,6 +18,16 @@ def test_utf8_read_wrongly_comes_back(wrong):
         assert restore(f"correct é and {bad} end")[0] == f"correct é and {passage} end"
 
 
+@pytest.mark.parametrize("wrong", [e for e in MISREAD if e not in EAST] + ["gbk"])
+def test_emoji_read_wrongly_come_back(wrong):
+    for emoji in "👍🚀🤖😀🎉":
+        if wrong == "gbk" and emoji == "🤖":
+            continue  # gbk can't read it
+        bad = emoji.encode().decode("gbk") if wrong == "gbk" else _read(emoji.encode(), wrong, None)
+        assert restore(f"all done {bad} end") == (f"all done {emoji} end", 1, True)
+    assert garbled_spans("π’s digits, “π‘, all done 👍 end") == []
+
+
 def test_twice_and_entities():
     bad = "déjà – “vu”".encode().decode("latin_1").encode().decode("latin_1")
     assert restore(bad)[0] == "déjà – “vu”"
