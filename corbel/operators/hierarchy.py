@@ -151,3 +151,25 @@ def paths_to_root(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
             joined.select("id", "name", F.col("_at").alias("at"), F.when(F.col("_up").isNull(), F.col("above")).otherwise(F.concat("_above", "above")).alias("above")), "paths"
         )
     return state.select("id", F.concat("above", F.array("name")).alias("path"))
+
+
+def looped_ancestors(links: DataFrame, resolved: DataFrame) -> DataFrame:
+    """id, above, distance: every other node that a node on or above a loop leads to.
+
+    links(id, parent), resolved as resolve_links gives it. A walk up ends where it
+    would come back to a node it has passed. Reach doubles in every round, until a
+    round finds nothing that was not known.
+    """
+    inside = resolved.where("looped").select("id")
+    now = stage(links.join(inside, "id").select("id", F.col("parent").alias("above"), F.lit(1).cast("long").alias("distance")), "looped")
+    jump = now.select("id", F.col("above").alias("at"))
+    reach, known, n = 1, 0, now.count()
+    while n > known:
+        known = n
+        index = now.select(F.col("id").alias("_at"), "above", F.col("distance").alias("_more"))
+        further = jump.join(index, jump["at"] == index["_at"]).select("id", "above", (F.lit(reach) + F.col("_more")).alias("distance"))
+        now = stage(now.unionByName(further).groupBy("id", "above").agg(F.min("distance").alias("distance")), "looped")
+        over = jump.select(F.col("id").alias("_id"), F.col("at").alias("_to"))
+        jump = stage(jump.join(over, jump["at"] == over["_id"]).select("id", F.col("_to").alias("at")), "jumps")
+        reach, n = 2 * reach, now.count()
+    return now.where("id != above")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.hierarchy import paths_to_root, resolve_links
+from ..operators.hierarchy import looped_ancestors, paths_to_root, resolve_links
 from ..operators.nested import FlatTables, Level, flatten_records
 from ..operators.orphans import orphan_references, orphans_by_period
 from ..operators.references import ref_key, ref_kind, token_links, token_nodes
@@ -68,24 +68,42 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tokens, their links, and the links as resolved."""
     nodes = _nodes(spark, sf_dir)
     links = stage(token_links(nodes), "links")
+    return nodes, links, resolve_links(links)
+
+
+def _paths(nodes: DataFrame, links: DataFrame, resolved: DataFrame) -> DataFrame:
     named = nodes.join(links.select("id", "parent"), "id", "left").select("id", "parent", "name", "system_id")
-    paths = paths_to_root(named, resolve_links(links))
-    return paths.join(nodes.select("id", "system_id", "name"), "id")
+    return paths_to_root(named, resolved).join(nodes.select("id", "system_id", "name"), "id")
+
+
+def _descendants(paths: DataFrame) -> DataFrame:
+    rows = paths.select("system_id", "name", "path", F.posexplode("path").alias("pos", "ancestor"))
+    rows = rows.withColumn("distance", (F.size("path") - 1 - F.col("pos")).cast("int"))
+    return rows.where("distance > 0").select("system_id", F.col("ancestor").alias("name"), F.col("name").alias("derived_name"), "distance")
 
 
 def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token's path from its root; tokens on or above a loop have none."""
-    return _paths(spark, sf_dir).select("system_id", "name", F.array_join("path", " > ").alias("path"))
+    return _paths(*_resolved(spark, sf_dir)).select("system_id", "name", F.array_join("path", " > ").alias("path"))
 
 
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per token and token derived from it, with the distance."""
-    rows = _paths(spark, sf_dir).select("system_id", "name", "path", F.posexplode("path").alias("pos", "ancestor"))
-    rows = rows.withColumn("distance", (F.size("path") - 1 - F.col("pos")).cast("int"))
-    return rows.where("distance > 0").select("system_id", F.col("ancestor").alias("name"), F.col("name").alias("derived_name"), "distance")
+    """One row per token and token derived from it, with the distance; without tokens on or above a loop."""
+    return _descendants(_paths(*_resolved(spark, sf_dir)))
+
+
+def p2_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all tokens: a walk into a loop ends where it would come back to a token it has passed."""
+    nodes, links, resolved = _resolved(spark, sf_dir)
+    ends = looped_ancestors(links, resolved)
+    named = ends.join(nodes.select("id", "system_id", F.col("name").alias("derived_name")), "id")
+    above = nodes.select(F.col("id").alias("above"), "name")
+    looped = named.join(above, "above").select("system_id", "name", "derived_name", F.col("distance").cast("int").alias("distance"))
+    return _descendants(_paths(nodes, links, resolved)).unionByName(looped)
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +143,7 @@ def p6_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans_by_period(orphan_references(references(spark, sf_dir), known_names(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_members, p2_found, p2_paths, p2_descendants, p6_found, p6_by_period)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_members, p2_found, p2_paths, p2_descendants, p2_derived, p6_found, p6_by_period)}
 
 _JSON_LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'OBJECT' THEN [{0}] ELSE CAST([] AS JSON[]) END"
 _SPACE = "[\\s\\x1c-\\x1f\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -174,6 +192,9 @@ SELECT 'custom_elements' AS src_table, record_id, CAST(module_pos AS INTEGER) AS
 UNION ALL SELECT 'catalog_modules', module_id, 0, CAST(parent_pos AS INTEGER), child_kind, CAST(child_pos AS INTEGER), child_name FROM c2 WHERE child_name IS NOT NULL""",
     "p2_found": f"""{_P2} SELECT system_id, name, CASE WHEN depth = 400 THEN '(cycle)' ELSE root END AS root_name, CAST(CASE WHEN depth = 400 THEN -1 ELSE depth END AS INTEGER) AS depth FROM ends""",
     "p2_descendants": f"""{_P2} SELECT w.system_id, w.cur AS name, w.name AS derived_name, CAST(w.depth AS INTEGER) AS distance FROM walk w JOIN ends e ON e.system_id = w.system_id AND e.name = w.name WHERE e.depth < 400 AND w.depth > 0""",
+    "p2_derived": f"""{_P2.partition("walk AS")[0]}
+seen AS (SELECT system_id, name, name AS cur, [name] AS past FROM t UNION ALL SELECT s.system_id, s.name, up.parent, list_append(s.past, up.parent) FROM seen s JOIN up ON up.system_id = s.system_id AND up.name = s.cur WHERE NOT list_contains(s.past, up.parent))
+SELECT system_id, cur AS name, name AS derived_name, CAST(len(past) - 1 AS INTEGER) AS distance FROM seen WHERE len(past) > 1""",
     "p2_paths": f"""{_P2} SELECT w.system_id, w.name, string_agg(w.cur, ' > ' ORDER BY w.depth DESC) AS path FROM walk w JOIN ends e ON e.system_id = w.system_id AND e.name = w.name WHERE e.depth < 400 GROUP BY ALL""",
     "p6_found": f"""{_P6} SELECT DISTINCT ref_table, record_id, ref_name, reason FROM orphans""",
     "p6_by_period": f"""{_P6} SELECT ref_table, strftime(tm, '%Y-%m') AS period, reason, count(*) AS n_refs, count(DISTINCT ref_name) AS n_names FROM orphans GROUP BY ALL""",

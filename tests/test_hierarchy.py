@@ -5,7 +5,7 @@ import random
 import pytest
 from conftest import rows
 
-from corbel.operators.hierarchy import paths_to_root, resolve_links
+from corbel.operators.hierarchy import looped_ancestors, paths_to_root, resolve_links
 from corbel.operators.references import token_links
 
 
@@ -51,6 +51,21 @@ def test_paths(spark):
     assert paths == {0: ("n0",), 1: ("n0", "n1"), 2: ("n0", "n1", "n2"), 3: ("n0", "n1", "n2", "n3"), 4: ("n0", "n1", "n2", "n3", "n4"), 5: ("n0", "n1", "n2", "n3", "n4", "n5"), 6: ("n0", "n6"), 10: ("n10",)}
 
 
+def test_what_hangs_on_loops_is_derived_too(spark):
+    parent = {1: 2, 2: 3, 3: 1, 4: 1, 5: 4, 6: 6, 7: 6, 20: 21} | {i: i - 1 for i in range(8, 19)}
+    want = []
+    for node in [1, 2, 3, 4, 5, *range(6, 19)]:
+        at, past = parent[node], [node]
+        while at not in past:
+            want.append((node, at, len(past)))
+            past.append(at)
+            at = parent[at]
+    links = spark.createDataFrame([(c, p, "g") for c, p in parent.items()], "id long, parent long, grp string")
+    assert sorted(rows(looped_ancestors(links, resolve_links(links)))) == sorted(want)
+    tree = links.where("id = 20")
+    assert rows(looped_ancestors(tree, resolve_links(tree))) == []
+
+
 def test_kinds_of_references(spark):
     nodes = spark.createDataFrame(
         [(1, "s", "a", "--a", None), (2, "s", "b", None, [None, " {a} ", "c"]), (3, "s", "c", "--c", ["var( --a )"]), (4, "s", "d", None, ["nothing", "a"]), (5, "t", "e", None, ["a"]), (6, None, "f", None, ["g"]), (7, None, "g", None, [])],
