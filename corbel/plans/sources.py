@@ -62,8 +62,8 @@ def sessions_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sessions_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that a bounded table lets go, idle or least recently seen."""
-    ended = sessions.run_to_table(sessions.evictions(sessions.stream_of(spark, f"{sf_dir}/events.parquet")), "evictions")
-    return ended.groupBy("shard", "reason").agg(F.count("*").alias("n"))
+    ended = sessions.streamed_evictions(sessions.stream_of(spark, f"{sf_dir}/events.parquet"))
+    return ended.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (css_round_trip, dtcg_round_trip, documentation_paths, sessions_idle, sessions_streamed, sessions_lru)}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import stage_path
+from ..session import stage, stage_path
 
 
 def idle_sessions(events: DataFrame, ttl: str = "30 minutes") -> DataFrame:
@@ -43,31 +45,81 @@ def streamed_sessions(spark, path: str, ttl: str = "30 minutes", late: str = "10
     return run_to_table(idle_sessions(events, ttl), "sessions")
 
 
-EVICTED = "shard int, user_id long, last_seen timestamp, ended timestamp, reason string"
+EVICTED = "user_id long, last_seen long, ended long, reason string"
 
 
-def evictions(stream: DataFrame, capacity: int = 200, ttl_seconds: int = 1800, shards: int = 64) -> DataFrame:
-    """Sessions that ended, as they end: idle for too long, or pushed out by a newer one.
+def _timed(events: DataFrame) -> DataFrame:
+    return events.where("ts is not null and user_id is not null").select(F.col("user_id").cast("long").alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
-    The table of live sessions is spread over shards by user, each with its share
-    of the capacity, so the state of a shard is bounded however many users come.
-    Events are taken in time order within each micro-batch.
-    """
-    share = max(1, capacity // shards)
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        live = dict(zip(*state.get)) if state.exists else {}
-        ended = []
+def evictions(events: DataFrame, capacity: int = 200, ttl_seconds: int = 1800, live: DataFrame | None = None) -> DataFrame:
+    """user_id, last_seen, ended, reason of the sessions that one table of `capacity` lets go.
+
+    Events are taken in order of time, then user: each ends the sessions that are
+    idle for longer than ttl ('idle'), and a new user pushes the least recently
+    seen one out of a full table ('capacity'). live(user_id, ts) is in the table
+    before. The table holds the most recently seen users of the last ttl, so time
+    is cut into slices of one ttl: each slice first takes in, silently, what came
+    within a ttl before the last event of the slices before it, and is then one
+    pass with a table of at most `capacity` users.
+    """
+    ttl = ttl_seconds * 1_000_000
+    known = _timed(events).withColumn("silent", F.lit(False))
+    if live is not None:
+        known = known.unionByName(_timed(live).withColumn("silent", F.lit(True)))
+    known = stage(known.withColumn("slice", F.floor(F.col("us") / ttl)), "events")
+    # One row per slice that has events: a bounded table.
+    order = W.orderBy("slice")
+    slices = known.groupBy("slice").agg(F.max("us").alias("last"))
+    slices = slices.select(F.col("slice").alias("to"), (F.lag("last").over(order) - ttl).alias("since"), F.array(F.lag("slice").over(order), F.lag("slice", 2).over(order)).alias("at"))
+    slices = slices.select("to", "since", F.explode("at").alias("slice"))
+    before = known.join(F.broadcast(slices.where("slice is not null")), "slice").where("us >= since")
+    work = known.unionByName(before.select("user_id", "us", F.lit(True).alias("silent"), F.col("to").alias("slice")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table: OrderedDict[int, int] = OrderedDict()
+        at = None
         for pdf in batches:
-            for ts, user in sorted(zip(pdf["ts"], pdf["user_id"])):
-                for other in [u for u, seen in live.items() if (ts - seen).total_seconds() > ttl_seconds]:
-                    ended.append((key[0], other, live.pop(other), ts, "idle"))
-                if user not in live and len(live) >= share:
-                    oldest = min(live, key=lambda u: (live[u], u))
-                    ended.append((key[0], oldest, live.pop(oldest), ts, "capacity"))
-                live[user] = ts
-        state.update((list(live), list(live.values())))
-        yield pd.DataFrame(ended, columns=["shard", "user_id", "last_seen", "ended", "reason"])
-
-    sharded = stream.where("ts is not null and user_id is not null").select(F.pmod(F.xxhash64("user_id"), F.lit(shards)).cast("int").alias("shard"), "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return sharded.groupBy("shard").applyInPandasWithState(step, EVICTED, "users array<long>, seen array<timestamp>", "append", "NoTimeout")
+            ended = []
+            for slice_, us, user, silent in zip(pdf["slice"], pdf["us"], pdf["user_id"], pdf["silent"]):
+                if slice_ != at:
+                    at = slice_
+                    table.clear()
+                while table and us - next(iter(table.values())) > ttl:
+                    other, seen = table.popitem(last=False)
+                    if not silent:
+                        ended.append((other, seen, us, "idle"))
+                if user not in table and len(table) >= capacity:
+                    other, seen = table.popitem(last=False)
+                    if not silent:
+                        ended.append((other, seen, us, "capacity"))
+                table[user] = us
+                table.move_to_end(user)
+            yield pd.DataFrame(ended, columns=["user_id", "last_seen", "ended", "reason"])
+
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ended = work.repartition(parts, "slice").sortWithinPartitions("slice", "us", "user_id").select("slice", "us", "user_id", "silent").mapInPandas(run, EVICTED)
+    return ended.select("user_id", F.timestamp_micros("last_seen").alias("last_seen"), F.timestamp_micros("ended").alias("ended"), "reason")
+
+
+def still_live(events: DataFrame, capacity: int = 200, ttl_seconds: int = 1800, live: DataFrame | None = None) -> DataFrame:
+    """user_id, ts of the sessions in the table after the last event."""
+    known = _timed(events) if live is None else _timed(events).unionByName(_timed(live))
+    seen = known.groupBy("user_id").agg(F.max("us").alias("us"))
+    recent = seen.crossJoin(known.agg(F.max("us").alias("_last"))).where(F.col("us") >= F.col("_last") - ttl_seconds * 1_000_000)
+    return recent.orderBy(F.desc("us"), F.desc("user_id")).limit(capacity).select("user_id", F.timestamp_micros("us").alias("ts"))
+
+
+def streamed_evictions(stream: DataFrame, capacity: int = 200, ttl_seconds: int = 1800) -> DataFrame:
+    """evictions of all that a stream holds now; what is in the table goes on from micro-batch to micro-batch."""
+    spark = stream.sparkSession
+    out = stage_path(spark, "evictions")
+    live: list[DataFrame | None] = [None]
+
+    def step(batch: DataFrame, _: int) -> None:
+        evictions(batch, capacity, ttl_seconds, live[0]).write.mode("append").parquet(out)
+        live[0] = stage(still_live(batch, capacity, ttl_seconds, live[0]), "live")
+
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", stage_path(spark, "evictions-progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("user_id long, last_seen timestamp, ended timestamp, reason string").parquet(out)
