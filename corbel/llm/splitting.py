@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +23,8 @@ from ..session import once
 
 _PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*")
 _LINE = re.compile(r"\r\n|\r|\n")
-_SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]*_`]*\s+")
+# Runs are taken whole, so that a long one is looked at once.
+_SENTENCE = re.compile(r"(?<![.!?…])[.!?…]++[\"'”’»)\]*_`]*+\s+")
 _CLAUSE = re.compile(r"[,;:–—]\s+")
 _SPACE = re.compile(r"\s+")
 _FENCE = re.compile(r"^ {0,3}(?:```|~~~)", re.M)
@@ -58,7 +60,8 @@ def valleys(text: str, places: list[int], block: int = 3) -> list[float]:
     ends = [0, *places, len(text)]
     units = [Counter(_WORD.findall(text[a:b].lower())) for a, b in zip(ends, ends[1:])]
     n = len(units)
-    near = [[sum(v * units[j][w] for w, v in units[i].items() if w in units[j]) for j in range(i, min(n, i + 2 * block))] for i in range(n)]
+    near = [[sum(v * units[j][w] for w, v in units[i].items() if w in units[j]) if units[i] else 0 for j in range(i, min(n, i + 2 * block))] for i in range(n)]
+    worded = [0, *accumulate(map(bool, units))]
 
     def norm(a: int, b: int) -> int:
         return sum(near[i][j - i] * (1 if i == j else 2) for i in range(a, b) for j in range(i, b))
@@ -66,17 +69,16 @@ def valleys(text: str, places: list[int], block: int = 3) -> list[float]:
     sim = []
     for g in range(1, n):
         a, b = max(0, g - block), min(n, g + block)
-        both = norm(a, g) * norm(g, b)
+        both = norm(a, g) * norm(g, b) if worded[a] < worded[g] < worded[b] else 0
         sim.append(sum(near[i][j - i] for i in range(a, g) for j in range(g, b)) / math.sqrt(both) if both else 0.0)
-    depth = []
-    for g, s in enumerate(sim):
-        a = b = g
-        while a > 0 and sim[a - 1] >= sim[a]:
-            a -= 1
-        while b + 1 < len(sim) and sim[b + 1] >= sim[b]:
-            b += 1
-        depth.append(sim[a] + sim[b] - 2 * s)
-    return depth
+    left, right = list(sim), list(sim)  # the peak on either side: where the similarity stops rising
+    for g in range(1, len(sim)):
+        if sim[g - 1] >= sim[g]:
+            left[g] = left[g - 1]
+    for g in range(len(sim) - 2, -1, -1):
+        if sim[g + 1] >= sim[g]:
+            right[g] = right[g + 1]
+    return [a + b - 2 * s for a, b, s in zip(left, right, sim)]
 
 
 def _whole(text: str, at: int, least: int) -> int:

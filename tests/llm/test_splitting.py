@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from conftest import rows
@@ -31,6 +32,14 @@ def test_cuts_at_the_change_of_topic():
     assert text[split_text(text, len(boats) + 60, 10)[0][1] :].startswith("Bread bakes")
 
 
+def test_time_grows_with_the_text():
+    lines, words = "the same line again\n" * 50_000, " ".join(f"word{i}.\n" for i in range(90_000))
+    for text in (lines, words, "." * 1_000_000, "a." * 500_000, "\n" * 1_000_000):
+        began = time.process_time()
+        check(text, 1200, 120)
+        assert time.process_time() - began < 8
+
+
 def test_long_words_and_marks_stay_whole():
     cuts = check("é" * 400, 101, 10)
     assert all(end % 2 == 0 for _, end in cuts[:-1])
