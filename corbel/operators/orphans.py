@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = ["scope", "system_id", "ref_name"]
+from ..session import stage
+
+KEY = ["scope", "_system", "ref_name"]
 
 
 def orphan_references(refs: DataFrame, names: DataFrame) -> DataFrame:
@@ -13,39 +15,31 @@ def orphan_references(refs: DataFrame, names: DataFrame) -> DataFrame:
 
     refs(ref_table, record_id, scope, system_id, ref_name, at) against
     names(scope, system_id, name, added_at, removed_at). The distinct foreign
-    keys are joined to the distinct spans of their name and judged once each;
-    only the failed ones are joined back to the references.
+    keys that an anti-join finds without a name are missing; of the others each
+    has the spans of its name in one row. That table is written, so that the
+    references meet it in one join in which a popular name can be split, and are
+    judged where they meet it. A name's distinct spans are its history of being
+    added and removed, which is held in one row.
 
     Nulls: a null ref_name is no reference. A null system is a system of its own.
     A null added_at means since ever, a null `at` is only judged as missing or
     not. Repeated references of one record come out once. Empty tables: without
     references there are no rows, without names all are missing.
     """
-    refs = refs.where("ref_name is not null").select("ref_table", "record_id", *KEY, "at").distinct()
-    spans = names.where("name is not null").select(
-        F.col("scope").alias("_scope"), F.col("system_id").alias("_system"), F.col("name").alias("_name"), "added_at", "removed_at"
-    ).distinct()
-    keys = refs.select(*KEY, "at").distinct()
-    same = (F.col("scope") == F.col("_scope")) & F.col("system_id").eqNullSafe(F.col("_system")) & (F.col("ref_name") == F.col("_name"))
-    begun = F.col("added_at").isNull() | (F.col("added_at") <= F.col("at"))
-    live = begun & (F.col("removed_at").isNull() | (F.col("removed_at") > F.col("at")))
-    judged = (
-        keys.join(spans, same, "left")
-        .groupBy(*KEY, "at")
-        .agg(
-            F.count("_name").alias("spans"),
-            F.max(F.coalesce(live, F.lit(False))).alias("live"),
-            F.max(F.coalesce(begun, F.lit(False))).alias("begun"),
-        )
-    )
-    failed = judged.select(
-        *[F.col(c).alias(f"_{c}") for c in (*KEY, "at")],
-        F.when(F.col("spans") == 0, "missing").when(F.col("at").isNull() | F.col("live"), None).when(~F.col("begun"), "late").otherwise("deleted").alias("reason"),
-    ).where("reason is not null")
-    back = F.lit(True)
-    for c in (*KEY, "at"):
-        back = back & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return refs.join(failed, back).select("ref_table", "record_id", "ref_name", "at", "reason")
+    system = F.coalesce(F.concat(F.lit("="), "system_id"), F.lit("")).alias("_system")
+    refs = refs.where("ref_name is not null").select("ref_table", "record_id", "scope", system, "ref_name", "at")
+    spans = names.where("name is not null").select("scope", system, F.col("name").alias("ref_name"), F.struct("added_at", "removed_at").alias("span"))
+    known = spans.groupBy(*KEY).agg(F.collect_set("span").alias("spans"))
+    keys = refs.select(*KEY).distinct()
+    missing = keys.join(known, KEY, "left_anti").select(*KEY, F.lit(None).cast(known.schema["spans"].dataType).alias("spans"))
+    told = stage(known.join(keys, KEY, "left_semi").unionByName(missing), "foreign-keys")
+
+    at = F.col("at")
+    begun = lambda s: s["added_at"].isNull() | (s["added_at"] <= at)
+    live = lambda s: begun(s) & (s["removed_at"].isNull() | (s["removed_at"] > at))
+    reason = F.when(F.col("spans").isNull(), "missing").when(at.isNull() | F.exists("spans", live), None).when(F.exists("spans", begun), "deleted").otherwise("late")
+    judged = refs.join(told, KEY).select("ref_table", "record_id", "ref_name", "at", "scope", "_system", reason.alias("reason"))
+    return judged.where("reason is not null").distinct().select("ref_table", "record_id", "ref_name", "at", "reason")
 
 
 def orphans_by_period(orphans: DataFrame) -> DataFrame:

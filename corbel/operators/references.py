@@ -36,11 +36,9 @@ def token_links(nodes: DataFrame) -> DataFrame:
     """
     first = F.get(F.filter("refs", lambda r: r.isNotNull()), F.lit(0))
     asked = nodes.where("refs is not null").select("id", "system_id", ref_kind(first).alias("kind"), ref_key(first).alias("key")).where("key is not null")
-    named = nodes.select("id", "system_id", F.explode(F.array(F.struct(F.lit("name").alias("kind"), F.col("name").alias("key")), F.struct(F.lit("css").alias("kind"), F.col("css_var").alias("key")))).alias("x"))
-    target = (
-        named.where("x.key is not null")
-        .groupBy(F.col("system_id").alias("_system"), F.col("x.kind").alias("_kind"), F.col("x.key").alias("_key"))
-        .agg(F.min("id").alias("parent"))
-    )
+    both = F.array(F.struct(F.lit("name").alias("kind"), F.col("name").alias("key")), F.struct(F.lit("css").alias("kind"), F.col("css_var").alias("key")))
+    named = nodes.select(F.col("id").alias("parent"), F.col("system_id").alias("_system"), F.explode(both).alias("x"))
+    target = named.where("x.key is not null").select("parent", "_system", F.col("x.kind").alias("_kind"), F.col("x.key").alias("_key"))
     same = F.col("system_id").eqNullSafe(F.col("_system")) & (F.col("kind") == F.col("_kind")) & (F.col("key") == F.col("_key"))
-    return asked.join(target, same).select("id", "parent", F.col("system_id").alias("grp"))
+    # Joined before anything is grouped, so that the links to a popular token can be split.
+    return asked.join(target, same).groupBy("id").agg(F.min("parent").alias("parent"), F.first("system_id").alias("grp"))

@@ -57,15 +57,11 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
     resolved = resolve_links(token_links(nodes))
-    names = nodes.select(F.col("id").alias("_root"), F.col("name").alias("_name"))
-    rows = nodes.select("id", "system_id", "name").join(resolved, "id", "left")
-    rows = rows.join(names, (rows["root"] == names["_root"]) & ~rows["looped"], "left")
-    return rows.select(
-        "system_id",
-        "name",
-        F.when(F.col("looped"), "(cycle)").otherwise(F.coalesce("_name", "name")).alias("root_name"),
-        F.when(F.col("looped"), -1).otherwise(F.coalesce("steps", F.lit(0))).cast("int").alias("depth"),
-    )
+    names = nodes.select(F.col("id").alias("root"), F.col("name").alias("root_name"))
+    ended = resolved.where("not looped").join(names, "root").select("id", "root_name", F.col("steps").cast("int").alias("depth"))
+    looped = resolved.where("looped").select("id", F.lit("(cycle)").alias("root_name"), F.lit(-1).alias("depth"))
+    rows = nodes.select("id", "system_id", "name").join(ended.unionByName(looped), "id", "left")
+    return rows.select("system_id", "name", F.coalesce("root_name", "name").alias("root_name"), F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -107,19 +103,22 @@ def p2_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ref_table, record_id, scope, system_id, ref_name, at of all three referring tables."""
-    tokens = token_nodes(table(spark, sf_dir, "tokens"))
+    """ref_table, record_id, scope, system_id, ref_name, at of all three referring tables.
+
+    A redelivered row has the same references again; who asks counts them once.
+    """
+    tokens = table(spark, sf_dir, "tokens").select("token_id", "system_id", trimmed(F.col("name")).alias("name"), trimmed(F.col("css_var")).alias("css_var"), "refs", "added_at")
     refs = tokens.select("token_id", "system_id", "added_at", F.explode("refs").alias("ref")).where("ref is not null")
     refs = refs.select("token_id", "system_id", "added_at", ref_kind(F.col("ref")).alias("kind"), ref_key(F.col("ref")).alias("key"))
     css = tokens.where("css_var is not null").groupBy(F.col("system_id").alias("_system"), F.col("css_var").alias("_css")).agg(F.min("name").alias("_name"))
     same = F.col("system_id").eqNullSafe(F.col("_system")) & (F.col("key") == F.col("_css"))
-    var = refs.where("kind = 'css'").join(css, same, "left").select("token_id", "system_id", "added_at", F.coalesce("_name", "key").alias("key"))
+    var = stage(refs.where("kind = 'css'").join(css, same, "left").select("token_id", "system_id", "added_at", F.coalesce("_name", "key").alias("key")), "css-refs")
     by_name = refs.where("kind = 'name'").select("token_id", "system_id", "added_at", "key")
 
     def shaped(df: DataFrame, name: str, record_id: str, scope: str, ref: str, at: str) -> DataFrame:
         return df.select(F.lit(name).alias("ref_table"), F.col(record_id).alias("record_id"), F.lit(scope).alias("scope"), "system_id", F.col(ref).alias("ref_name"), F.col(at).alias("at"))
 
-    chunks = once(table(spark, sf_dir, "doc_chunks").select("chunk_id", "system_id", "mentions", "indexed_at"), "chunk_id")
+    chunks = table(spark, sf_dir, "doc_chunks")
     mentions = chunks.select("chunk_id", "system_id", "indexed_at", F.explode("mentions").alias("m")).withColumn("m", trimmed(F.col("m"))).where("m != ''")
     aliases = table(spark, sf_dir, "aliases").where("kind = 'components' and target is not null").withColumn("target", trimmed(F.col("target")))
     return (

@@ -38,6 +38,19 @@ def test_long_chain(spark):
     assert resolved(spark, parent, block_links=30, close_links=15) == walked(parent)
 
 
+@pytest.mark.parametrize("shape", ["one tree", "chain", "loop"])
+def test_one_tree_and_one_chain_of_all_nodes(spark, shape):
+    n = 10_000
+    order = random.Random(4).sample(range(n), n)
+    up = {"one tree": lambda i: max(0, i // 3 - 1) if i > 3 else 0, "chain": lambda i: i - 1, "loop": lambda i: (i - 1) % n}[shape]
+    parent = {order[i]: order[up(i)] for i in range(0 if shape == "loop" else 1, n)}
+    depth = [0] * n
+    for i in range(1, n):
+        depth[i] = depth[up(i)] + 1
+    want = {order[i]: (None, None, True) if shape == "loop" else (order[0], depth[i], False) for i in range(n) if order[i] in parent}
+    assert resolved(spark, parent, block_links=2_000, close_links=3_000, fan_in=2) == want
+
+
 def test_no_links_and_nulls(spark):
     df = spark.createDataFrame([(1, None, "a"), (None, 2, "a")], "id long, parent long, grp string")
     assert rows(resolve_links(df)) == []
