@@ -19,6 +19,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import ahocorasick
 import pyarrow as pa
@@ -43,11 +44,62 @@ _MAY_LEAD = set("–—‘’“”…•«»„‚œŒƒ·")
 
 def _characters() -> list[str]:
     """The characters whose garbled forms are looked for, by block."""
-    spans = [(0xA0, 0x17F), (0x218, 0x21B), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x2010, 0x203A), (0x20AC, 0x20AC), (0x2122, 0x2122), (0x2190, 0x2193),
+    spans = [(0xA0, 0x17F), (0x192, 0x192), (0x218, 0x21B), (0x2C6, 0x2C7), (0x2D8, 0x2DD), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x2010, 0x203A), (0x20AC, 0x20AC), (0x2122, 0x2122), (0x2190, 0x2193),
              (0x2212, 0x2212), (0x2248, 0x2265), (0x2500, 0x2501), (0x25A0, 0x25CF), (0x2713, 0x2717), (0xFB01, 0xFB02), (0xFEFF, 0xFEFF), (0x1F300, 0x1F6FF), (0x1F900, 0x1F9FF)]
     return [chr(c) for a, b in spans for c in range(a, b + 1) if unicodedata.category(chr(c)) != "Cn"]
 
 
+# The encodings whose signs and letters show UTF-8 of any character of the basic plane.
+ANY_CHARACTER = ["cp1252", "latin_1", "mac_roman", "cp437", "cp850", "iso8859_15"]
+_NO_CHARACTER = {"Cn", "Co", "Cs"}
+
+
+def _odd(ch: str) -> bool:
+    """A character that running text has neither as a letter nor as one of its usual signs."""
+    return ch in "ªº" or not (ch.isalpha() or ch in SIGNS or ch == "\xa0")
+
+
+def _stands_out(chars: str, enc: str) -> bool:
+    """Not all of it are letters and usual signs, nor, where an encoding has them, lines of a drawing."""
+    return any(map(_odd, chars)) and not (enc in ("cp437", "cp850") and _lines(chars))
+
+
+@lru_cache(1)
+def _byte_of() -> dict[str, dict[str, int]]:
+    """For each of these encodings the byte that shows as a character."""
+    return {enc: {_read(bytes([b]), enc, None): b for b in range(0x80, 0x100)} for enc in ANY_CHARACTER}
+
+
+def _encoded(chars: str, enc: str) -> str:
+    """The assigned characters whose UTF-8 shows as chars in enc; empty if they are none."""
+    try:
+        was = bytes(_byte_of()[enc][c] for c in chars).decode()
+    except (KeyError, UnicodeDecodeError):
+        return ""
+    return "" if any(unicodedata.category(c) in _NO_CHARACTER for c in was) else was
+
+
+def _one_layer(run: list[tuple], text: str) -> list[tuple]:
+    """The hits of a run as those of one encoding in which all of it is UTF-8; else as they are.
+
+    So of text that was garbled several times one layer goes with each round. What
+    would be an unusual character counts only where no usual one was found.
+    """
+    start, end = run[0][0], run[-1][1]
+    unusual = any(h[3] in ANY_CHARACTER and h[2] not in _usual() for h in run)
+    for enc in ANY_CHARACTER:
+        was = _encoded(text[start:end], enc)
+        if was and (unusual or all(c in _usual() or "\x80" <= c <= "\x9f" for c in was)):
+            out, at = [], start
+            for c in was:
+                seq = text[at : (at := at + len(c.encode()))]
+                known = garbled_sequences().get(seq)
+                sure = known[2] if known and known[0] == c else len(seq) > 2 and seq[0] not in SIGNS and any(map(_odd, seq))
+                out.append((at - len(seq), at, c, enc, sure))
+            return out
+    return run
+
+
 def _read(raw: bytes, enc: str, lost: str | None) -> str | None:
     """raw in enc; what enc does not define becomes its control character, or `lost`."""
     out = []
@@ -59,6 +111,11 @@ def _read(raw: bytes, enc: str, lost: str | None) -> str | None:
     return "".join(out)
 
 
+@lru_cache(1)
+def _usual() -> frozenset[str]:
+    return frozenset(_characters())
+
+
 def _bare(ch: str) -> str:
     """UTF-8 read as latin_1, with the control characters stripped afterwards."""
     return "".join(c for c in ch.encode().decode("latin_1") if not "\x80" <= c <= "\x9f")
@@ -74,9 +131,18 @@ def _lost_to() -> dict[str, str]:
     return out
 
 
+# Stands for the characters of three bytes that a sequence of two begins.
+_BEGINS = "..."
+
+
 @lru_cache(1)
 def garbled_sequences() -> dict[str, tuple[str, str, bool]]:
-    """Garbled sequence to (what it was, the encoding, whether it is proof by itself)."""
+    """Garbled sequence to (what it was, the encoding, whether it is proof by itself).
+
+    Whole sequences of the usual characters in all encodings; those of all other
+    characters of the basic plane by their first two bytes, in the encodings in
+    which they do not look like words.
+    """
     found: dict[str, tuple[str, str, bool]] = {}
 
     def add(seq: str | None, was: str, enc: str, sure: bool) -> None:
@@ -115,6 +181,15 @@ def garbled_sequences() -> dict[str, tuple[str, str, bool]]:
                     add(twice, ch if lost is None else "", enc, True)
                     if lost is None and ord(ch) < 0x2200:
                         add(_read(twice.encode(), enc, lost), ch, enc, True)
+    # Characters of the basic plane beyond those: two bytes whole, of three bytes the first two.
+    for enc in ANY_CHARACTER:
+        for raw in range(0xC2, 0xF0):
+            for more in range(0x80, 0xC0):
+                seq = _read(bytes([raw, more]), enc, None)
+                if raw < 0xE0:
+                    add(seq, _encoded(seq, enc), enc, False)
+                elif seq not in found:
+                    found[seq] = (_BEGINS, enc, False)
     for b in range(0x80, 0xA0):
         try:
             add(chr(b), bytes([b]).decode("cp1252"), "latin_1", b != 0x85)
@@ -126,16 +201,19 @@ def garbled_sequences() -> dict[str, tuple[str, str, bool]]:
 
 @lru_cache(1)
 def _first_sight() -> re.Pattern:
-    """Two characters or one with which every garbled sequence begins; few correct texts have them."""
-    leads, seconds, single = set(), set(), set()
-    for seq, (_, enc, _) in garbled_sequences().items():
-        if len(seq) > 1 and enc not in EAST:
+    """Three characters, two or one with which every garbled sequence begins; few correct texts have them."""
+    leads, seconds, single, opening, inner = set(), set(), set(), set(), set()
+    for seq, (was, enc, _) in garbled_sequences().items():
+        if was == _BEGINS:
+            opening.add(seq[0])
+            inner.add(seq[1])
+        elif len(seq) > 1 and enc not in EAST:
             leads.add(seq[0])
             seconds.add(seq[1])
         else:
             single.add(seq[0])
     group = lambda x: "[" + "".join(map(re.escape, sorted(x))) + "]"
-    return re.compile(f"{group(leads)}{group(seconds)}|{group(single)}")
+    return re.compile(f"{group(leads)}{group(seconds)}|{group(opening)}{group(inner)}{{2}}|{group(single)}")
 
 
 @lru_cache(1)
@@ -147,13 +225,31 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
-_ENTITY = re.compile(r"&#(\d{3,6});")
+_ENTITY = re.compile(r"&#(?:(\d{3,7})|[xX]([0-9a-fA-F]{2,6}));")
 _CODE = re.compile(r"`[^`\n]*`")
 _LONE_A = re.compile(r"(?<=[a-zß-ÿ]\s)Ã(?=[\s ][a-zß-ÿ`])")
 
 
+def _entity(m: re.Match) -> str:
+    """The character of a numeric entity, in decimals or hex; the entity itself if it is ASCII or none."""
+    code = int(m[1]) if m[1] else int(m[2], 16)
+    return chr(code) if 128 <= code < 0xD800 or 0xE000 <= code < 0x110000 else m[0]
+
+
 def _unescaped(text: str) -> str:
-    return _ENTITY.sub(lambda m: chr(int(m[1])) if 128 <= int(m[1]) < 0x110000 else m[0], text) if "&#" in text else text
+    return _ENTITY.sub(_entity, text) if "&#" in text else text
+
+
+def _places(text: str) -> list[int] | None:
+    """Where each character of _unescaped(text) begins in text, and its end; null if there are no entities."""
+    if "&#" not in text:
+        return None
+    out, at = [], 0
+    for m in _ENTITY.finditer(text):
+        if len(_entity(m)) == 1:
+            out += [*range(at, m.start()), m.start()]
+            at = m.end()
+    return [*out, *range(at, len(text) + 1)]
 
 
 def _is_east(ch: str) -> bool:
@@ -166,18 +262,42 @@ def _shown(text: str, a: int, b: int) -> bool:
     return (before, after) in (("`", "`"), ('"', '"'), ("'", "'"), ("“", "”"), ("«", "»"), ("„", "“"))
 
 
+def _lines(chars: str) -> bool:
+    return all("─" <= c <= "▟" for c in chars)
+
+
+def _drawn(text: str, a: int, b: int) -> bool:
+    """The span consists of lines of a drawing, and no letter stands beside it."""
+    return _lines(text[a:b]) and not (text[a - 1 : a].isalpha() or text[b : b + 1].isalpha())
+
+
 def garbled_spans(text: str) -> list[tuple[int, int, str, bool]]:
     """start, end, original ('' where it is lost) and restorable of each garbled span.
 
     A sequence that could be correct by itself counts only beside another of its
-    encoding, or in a text that has sure ones of it. What is shown as an example,
+    encoding, or in a text that has sure ones of it; lines of a drawing only beside
+    a letter; one of a character beyond the
+    usual ones only beside another, where not all are letters and usual signs. What is shown as an example,
     alone between code marks or quotes, does not count.
     """
     if not _first_sight().search(text):
         return []
-    hits = []
-    for end, (n, was, enc, sure) in _automaton().iter_long(text):
-        hits.append((end - n + 1, end + 1, was, enc, sure))
+    longest: dict[int, tuple] = {}
+    for last, (n, was, enc, sure) in _automaton().iter(text):
+        start, end = last - n + 1, last + 1
+        if was == _BEGINS:
+            for enc in ANY_CHARACTER:
+                if len(was := _encoded(text[start : end + 1], enc)) == 1:
+                    break
+            else:
+                continue
+            end += 1
+        if start not in longest or end > longest[start][1]:
+            longest[start] = (start, end, was, enc, sure)
+    hits: list[tuple] = []
+    for start in sorted(longest):
+        if not hits or start >= hits[-1][1]:
+            hits.append(longest[start])
     if not hits:
         return []
     runs: list[list[tuple]] = []
@@ -186,9 +306,10 @@ def garbled_spans(text: str) -> list[tuple[int, int, str, bool]]:
             runs[-1].append(h)
         else:
             runs.append([h])
-    runs = [r for r in runs if not _shown(text, r[0][0], r[-1][1])]
+    runs = [r for r in runs if not _shown(text, r[0][0], r[-1][1]) and not _drawn(text, r[0][0], r[-1][1])]
     if not runs:
         return []
+    runs = [_one_layer(r, text) for r in runs]
     sure_in = Counter(h[3] for r in runs for h in r if h[4])
     east = sum(map(_is_east, text))
     covered = sum(_is_east(c) for r in runs for h in r if h[3] in EAST for c in text[h[0] : h[1]])
@@ -196,7 +317,10 @@ def garbled_spans(text: str) -> list[tuple[int, int, str, bool]]:
     for r in runs:
         for s, e, was, enc, sure in r:
             same = sum(h[3] == enc for h in r)
-            if sure or (sure_in[enc] > 0) or (same >= 2 if enc not in EAST else covered == east):
+            if not sure and was and enc in ANY_CHARACTER and was not in _usual():
+                if same >= 2 and _stands_out(text[r[0][0] : r[-1][1]], enc):
+                    out.append((s, e, was, True))
+            elif sure or (sure_in[enc] > 0) or (same >= 2 if enc not in EAST else covered == east):
                 out.append((s, e, was, bool(was)))
     return out
 
@@ -204,27 +328,30 @@ def garbled_spans(text: str) -> list[tuple[int, int, str, bool]]:
 def restore(text: str) -> tuple[str, int, bool]:
     """The text with its garbled spans replaced, how many there were, and whether all could be.
 
-    Spans whose original is lost stay as they are. Repeats until no span is left
-    that can be replaced, so doubly garbled text comes back whole.
+    Spans whose original is lost stay as they are, and so does everything beside
+    the spans: an entity is read only as a part of one. Repeats until no span is
+    left that can be replaced, so text garbled any number of times comes back
+    whole. Each round leaves fewer characters that are not ASCII, or fewer control
+    characters, so it ends.
     """
     n, whole = 0, True
-    text = _unescaped(text)
-    for _ in range(3):
-        spans = garbled_spans(text)
-        if not spans:
-            break
-        parts, at = [], 0
+    while spans := garbled_spans(_unescaped(text)):
+        at = _places(text)
+        parts, done = [], 0
         whole = all(ok for *_, ok in spans)
         for s, e, was, ok in spans:
-            parts += [text[at:s], was if ok else text[s:e]]
-            at = e
+            start, end = (at[s], at[e]) if at else (s, e)
+            parts += [text[done:start], was if ok else text[start:end]]
+            done = end
         n += len(spans)
-        text = "".join(parts) + text[at:]
+        text = "".join(parts) + text[done:]
         if not any(ok for *_, ok in spans):
             break
     return text, n, whole
 
 
+# Ids with their few words; more than that meet the texts in a shuffled join.
+BROADCAST_IDS = 100_000
 _EDGE = re.compile(r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 
 
@@ -261,10 +388,16 @@ def restored_words(word: str) -> tuple[str, ...]:
 
 
 def _refilled(word: str) -> list[str]:
-    """Readings of a word in which one or two characters have lost a part (as in `Itâs`)."""
+    """Readings of a word in which characters have lost a part (as in `Itâs`).
+
+    Two such characters are read in all ways; of more, equal ones are read alike.
+    """
     lost = [(i, c) for i, c in enumerate(word) if c in _lost_to()]
-    if not 1 <= len(lost) <= 2:
+    if not lost:
         return []
+    if len(lost) > 2:
+        kinds = sorted({c for _, c in lost})
+        return [word.translate(dict(zip(map(ord, kinds), was))) for was in product(*(_lost_to()[c] for c in kinds))] if len(kinds) < 3 else []
     out = []
     for first in _lost_to()[lost[0][1]]:
         for last in _lost_to()[lost[-1][1]] if len(lost) > 1 else first:
@@ -420,19 +553,24 @@ def garbled_documents(docs: DataFrame) -> DataFrame:
 
 
 def restored_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_spans, restorable of the affected documents.
+    """doc_id, text, n_spans, restorable, found_by of the affected documents.
 
     Restorable is false where a part of the original is lost; that part stays.
+    found_by tells what found the document: `sequences` of the automaton, `words`
+    that the corpus knows far better restored, or `both`. The found ids are
+    broadcast up to BROADCAST_IDS of them, so that no text is shuffled.
     """
     spans, words = find_garbled(docs)
     per_doc = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "was"))).alias("words"))
-    hit = spans.join(per_doc, "doc_id", "full")
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(hit.select("doc_id", "words"), "doc_id")
+    by = F.when(F.col("words").isNull(), "sequences").when(F.col("n_spans").isNull(), "words").otherwise("both")
+    hit = stage(spans.join(per_doc, "doc_id", "full").select("doc_id", "words", by.alias("found_by")), "garbled")
+    hit = F.broadcast(hit) if hit.count() <= BROADCAST_IDS else hit
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(hit, "doc_id")
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for doc, text, known in zip(pdf["doc_id"], pdf["text"], pdf["words"]):
+            for doc, text, known, found_by in zip(pdf["doc_id"], pdf["text"], pdf["words"], pdf["found_by"]):
                 text, n, ok = restore(text)
                 known = dict(known) if known is not None else {}
                 if known:
@@ -440,7 +578,7 @@ def restored_documents(docs: DataFrame) -> DataFrame:
                     pattern = edge + "(?:" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + r")(?![^\s!-/:-@\[-`{-~])"
                     text, k = re.subn(pattern, lambda m: known[m[0]], text)
                     n += k
-                rows.append((doc, text, n, ok))
-            yield pdf.drop(columns=list(pdf.columns)).assign(**{c: [r[i] for r in rows] for i, c in enumerate(("doc_id", "text", "n_spans", "restorable"))})
+                rows.append((doc, text, n, ok, found_by))
+            yield pdf.drop(columns=list(pdf.columns)).assign(**{c: [r[i] for r in rows] for i, c in enumerate(("doc_id", "text", "n_spans", "restorable", "found_by"))})
 
-    return whole.mapInPandas(run, "doc_id long, text string, n_spans int, restorable boolean")
+    return whole.mapInPandas(run, "doc_id long, text string, n_spans int, restorable boolean, found_by string")

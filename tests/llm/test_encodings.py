@@ -31,7 +31,30 @@ def test_emoji_read_wrongly_come_back(wrong):
 def test_twice_and_entities():
     bad = "déjà – “vu”".encode().decode("latin_1").encode().decode("latin_1")
     assert restore(bad)[0] == "déjà – “vu”"
-    assert restore("caf&#195;&#169; & &#233;")[0] == "café & é"
+    assert restore("caf&#195;&#169; & &#233;")[0] == "café & &#233;"  # a correct entity is no part of a garbled span
+
+
+@pytest.mark.parametrize("passage", ["Größere Übung – “l’été”", "naïve", "Łódź… 5 €"])
+@pytest.mark.parametrize("wrong", ["cp1252", "latin_1"])
+def test_any_number_of_layers(wrong, passage):
+    bad = passage
+    for _ in range(5):
+        bad = "".join(_read(c.encode(), wrong, None) for c in bad)
+        assert restore(f"è {bad} ê")[::2] == (f"è {passage} ê", True)
+
+
+@pytest.mark.parametrize("passage", ["Tiếng Việt rất hay", "người dùng", "שלום עולם", "مرحبا بالعالم", "한국어 문서", "日本語のテキスト", "中文文档", "ἄνθρωπος ἐστίν", "ความ", "Беларусь"])
+@pytest.mark.parametrize("wrong", ["cp1252", "latin_1", "cp437"])
+def test_any_script(wrong, passage):
+    bad = "".join(_read(c.encode(), wrong, None) for c in passage)
+    assert restore(f"see {bad} end")[::2] == (f"see {passage} end", True)
+    assert garbled_spans(f"see {passage} end") == []
+
+
+def test_entities_only_inside_spans():
+    assert restore("price &#8364;5 then cafÃ©") == ("price &#8364;5 then café", 1, True)
+    assert restore("&#xE9; caf&#xC3;&#xA9; &#xC3;&#169; &#55296; &#1114112;") == ("&#xE9; café é &#55296; &#1114112;", 2, True)
+    assert restore("only &#8364;5 and &#xe9;") == ("only &#8364;5 and &#xe9;", 0, True)
 
 
 def test_lost_parts_stay_and_are_told():
@@ -39,7 +62,8 @@ def test_lost_parts_stay_and_are_told():
     assert text == "We�ve seen café" and n >= 2 and not whole
 
 
-@pytest.mark.parametrize("text", [GOOD, "ATENÇÃO, NÃO e PÂTÉ: Â, Ã, É", "If it shows `Ã©` or `â€™`, tell us (`ÃƒÂ¼`, `Ð¿Ñ€`)", "The glyph `�` marks a byte", "├── src\n│   └── a", "Prices in £, €, ¥; ª and º, «x»", "東京の猫", "—à bientôt –été", ""])
+@pytest.mark.parametrize("text", [GOOD, "ATENÇÃO, NÃO e PÂTÉ: Â, Ã, É", "If it shows `Ã©` or `â€™`, tell us (`ÃƒÂ¼`, `Ð¿Ñ€`)", "The glyph `�` marks a byte", "├── src\n│   └── a", "Prices in £, €, ¥; ª and º, «x»", "東京の猫", "—à bientôt –été", "",
+     "voilà » et « cassé », « été »", "«её» діїв твоєї узнаё… “моё”", "OÙ… Où est-ce ?", "ÅÄÖ Êtes créée ÎLES “Så…”", "╔══╗ ║é║ ╚══╝ └┐ ├──┤", "5 × 3 µm², 2½ £"])
 def test_correct_texts_are_no_case(text):
     assert garbled_spans(text) == []
 
@@ -62,6 +86,8 @@ def test_eight_bit_mixups_by_corpus_counts(spark):
 def test_restored_documents(spark):
     df, at = docs(spark)
     got = {r[0]: r[1] for r in rows(restored_documents(df))}
+    by = {r[0]: r[4] for r in rows(restored_documents(df))}
+    assert by == {at: "words", at + 1: "words", at + 2: "sequences"}
     assert got[at] == "Zespół sprawdził już to" and got[at + 1] == "We’ve seen 64 × 10 px" and got[at + 2] == "It is café time"
 
 
