@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 WORD = re.compile(r"[^\W_]+")
 _MARKS: list[re.Pattern] = []
 
@@ -59,17 +61,30 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 
 
 class Ngrams:
-    """The n-grams of a block of items: sorted hashes, and the exact windows behind each."""
+    """The n-grams of a block of items: their words as numbers one after another, and where each window stands, by its hash."""
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         self.n, self.vocab = n, {}
-        self.windows: dict[bytes, set[int]] = {}
-        for item, text in items:
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)], np.uint32)
-            for i in range(len(ids) - n + 1):
-                self.windows.setdefault(ids[i : i + n].tobytes(), set()).add(item)
-        grams = np.array([np.frombuffer(k, np.uint32) for k in self.windows], np.uint32).reshape(-1, n)
-        self.hashes = np.unique(self.rolled(grams.reshape(-1))[::n]) if len(grams) else np.array([], np.uint64)
+        flat: list[int] = []
+        ends = []
+        for _, text in items:
+            flat += [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)]
+            flat.append(0)
+            ends.append(len(flat))
+        self.items = np.array([item for item, _ in items], np.int64)
+        self.ends = np.array(ends, np.int64)
+        self.flat = np.array(flat, np.uint32)
+        places = self._full(self.flat)
+        h = self.rolled(self.flat)[places]
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.places = h[order], places[order]
+
+    def _full(self, ids: np.ndarray) -> np.ndarray:
+        """The places of windows without a 0."""
+        if len(ids) < self.n:
+            return np.array([], np.int64)
+        other = np.concatenate([[0], np.cumsum(ids == 0)])
+        return np.flatnonzero(other[self.n :] == other[: -self.n])
 
     def rolled(self, ids: np.ndarray) -> np.ndarray:
         """Hash of the window that starts at each place."""
@@ -82,19 +97,18 @@ class Ngrams:
 
     def hits(self, ids: np.ndarray) -> list[tuple[int, set[int]]]:
         """Places whose next n words are n consecutive words of items. 0 stands for any other word."""
-        n = self.n
-        if len(ids) < n or not len(self.hashes):
-            return []
-        other = np.concatenate([[0], np.cumsum(ids == 0)])
-        places = np.flatnonzero(other[n:] == other[:-n])
-        if not len(places):
+        places = self._full(ids)
+        if not len(places) or not len(self.hashes):
             return []
         h = self.rolled(ids)[places]
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        low, high = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, "right")
         found = []
-        for p in places[self.hashes[at] == h]:
-            if (items := self.windows.get(ids[p : p + n].tobytes())) is not None:
-                found.append((int(p), items))
+        for k in np.flatnonzero(low < high):
+            p = int(places[k])
+            mine = ids[p : p + self.n]
+            same = [q for q in self.places[low[k] : high[k]] if np.array_equal(mine, self.flat[q : q + self.n])]
+            if same:
+                found.append((p, set(self.items[np.searchsorted(self.ends, same, "right")].tolist())))
         return found
 
 
@@ -134,9 +148,9 @@ def leaked_spans(docs: DataFrame, items: DataFrame, n: int = 20, block_words: in
     """doc_id, item_id, first_word, last_word: runs of a document's words taken from an item.
 
     docs(doc_id, text), items(item_id, text). Every run of n or more consecutive
-    words that an item also has comes out once per item that has it. Blocks of at
-    most about block_words item words are broadcast; an item longer than that is
-    a block of its own. Null, empty and shorter texts give no rows, as do empty
+    words that an item also has comes out once per item that has it. Items are
+    spread over blocks of about block_words words by a hash; the driver makes one
+    block after the other, some 20 bytes a word, and broadcasts it. Null, empty and shorter texts give no rows, as do empty
     tables; texts are scanned whole.
     """
     spark = docs.sparkSession
@@ -157,13 +171,18 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 20) -> DataFrame:
     return leaked_spans(docs, items, n).select("doc_id", "item_id").distinct()
 
 
+# Spans of the documents to be cut; more than that meet the texts in a shuffled join.
+BROADCAST_IDS = 100_000
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, n: int = 20) -> DataFrame:
     """The affected documents with the leaked passages cut out: doc_id, text, n_words_cut.
 
     A passage is cut from its first to its last word; what stood before and after
-    it is joined by a line break. doc_id must be unique and not null.
+    it is joined by a line break. doc_id must be unique and not null. The affected
+    ids are broadcast up to BROADCAST_IDS of them, so that no text is shuffled.
     """
-    spans = leaked_spans(docs, items, n)
+    spans = stage(leaked_spans(docs, items, n), "leaks")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def cut(batches):
@@ -189,4 +208,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, n: int = 20) -> DataFrame:
             yield pdf[["doc_id", "text", "n_words_cut"]]
 
     hit = spans.select("doc_id", "first_word", "last_word").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "last_word")).alias("runs"))
+    hit = F.broadcast(hit) if spans.count() <= BROADCAST_IDS else hit
     return whole.join(hit, "doc_id").mapInPandas(cut, "doc_id long, text string, n_words_cut int")
