@@ -3,7 +3,8 @@
 Sizes come from a public tokenizer. The texts are spread over shards by a hash of
 their key; within a shard they are taken in descending size, each to the sequence
 of the lowest estimated cost (linear plus quadratic in the size of each text) that
-still has room, so sequences fill evenly in work as well as in tokens.
+still has room, so sequences fill evenly in work as well as in tokens. What ends
+up in sequences that are not full is assigned once more by the same rule.
 """
 
 from __future__ import annotations
@@ -107,39 +108,28 @@ def fill(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def fill_tightly(sizes: list[int], capacity: int) -> list[int]:
-    """As fill, but the container with the least room that is enough takes the next item: fuller, less even."""
-    by_room: dict[int, list[int]] = defaultdict(list)
-    rooms, opened, out = 0, 0, []
-    for n in sizes:
-        fit = rooms >> n
-        if fit:
-            room = n + (fit & -fit).bit_length() - 1
-            i = by_room[room].pop()
-            if not by_room[room]:
-                rooms &= ~(1 << room)
-        else:
-            room, i = capacity, opened
-            opened += 1
-        out.append(i)
-        by_room[room - n].append(i)
-        rooms |= 1 << (room - n)
-    return out
-
-
-def assigned(sizes: list[int], capacity: int, waste: float = 0.01) -> list[int]:
-    """Evenly filled containers, unless they are more than `waste` over what the tokens need and tight ones are fewer."""
-    even = fill(sizes, capacity)
-    if not sizes or max(even) + 1 <= math.ceil(sum(sizes) / capacity * (1 + waste)):
-        return even
-    tight = fill_tightly(sizes, capacity)
-    return tight if max(tight) < max(even) else even
+def assigned(sizes: list[int], capacity: int, slack: float = 0.005) -> list[int]:
+    """fill, and once more for what is in containers with more room left than `slack` of the capacity, while that takes fewer."""
+    where = fill(sizes, capacity)
+    while True:
+        room = [capacity] * (max(where, default=-1) + 1)
+        for n, i in zip(sizes, where):
+            room[i] -= n
+        loose = [i for i, r in enumerate(room) if r > slack * capacity]
+        again = [k for k, i in enumerate(where) if room[i] > slack * capacity]
+        closer = fill([sizes[k] for k in again], capacity)
+        if max(closer, default=-1) + 1 >= len(loose):
+            return where
+        for k, i in zip(again, closer):
+            where[k] = loose[i]
+        used = {i: k for k, i in enumerate(sorted(set(where)))}
+        where = [used[i] for i in where]
 
 
 PACKED = "shard int, container int, slot int, doc_id long, piece int, first_token long, n_tokens int"
 
 
-def pack(counts: DataFrame, capacity: int, per_shard: int = 50_000) -> DataFrame:
+def pack(counts: DataFrame, capacity: int, per_shard: int = 2_000) -> DataFrame:
     """shard, container, slot, doc_id, piece, first_token, n_tokens of counts(doc_id, n_tokens).
 
     A text of more tokens than the capacity is cut into full pieces and one rest;

@@ -26,8 +26,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = once(table(spark, sf_dir, "doc_chunks").select("chunk_id", "mentions"), "chunk_id")
-    mentions = chunks.select(F.col("chunk_id").alias("record_id"), F.explode("mentions").alias("m")).select("record_id", trimmed(F.col("m")).alias("term"), F.lit(1).alias("n"))
-    by_mention = terms.term_frequency(mentions.where("term != ''"))
+    by_mention = terms.array_frequency(chunks.select(F.filter(F.transform("mentions", trimmed), lambda m: m != "").alias("terms")))
     lexicon = once(table(spark, sf_dir, "convention_lexicon").select("lexicon_id", "expected", "occurrences"), "lexicon_id")
     expected = lexicon.select(F.col("lexicon_id").alias("record_id"), trimmed(F.col("expected")).alias("term"), F.col("occurrences").alias("n"))
     by_expected = terms.term_frequency(expected.where("term != ''"))
@@ -60,17 +59,20 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(spark, sf_dir).join(lost, ["alias_id", "field"]).groupBy("field", "scope", "value").agg(F.count("*").alias("n"))
 
 
+def _capacity(spark: SparkSession, sf_dir: str) -> int:
+    windows = table(spark, sf_dir, "context_windows").where("label = 'standard'")
+    return windows.agg(F.max("capacity_tokens")).first()[0]
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in containers of the `standard` capacity."""
-    windows = table(spark, sf_dir, "context_windows").where("label = 'standard'")
-    capacity = windows.agg(F.max("capacity_tokens")).first()[0]
     counts = stage(packing.token_counts(table(spark, sf_dir, "documents")), "sizes")
-    return packing.pack(counts, capacity)
+    return packing.pack(counts, _capacity(spark, sf_dir))
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers are, and how evenly their cost is spread."""
-    work = F.sum(F.col("n_tokens") + F.col("n_tokens").cast("double") * F.col("n_tokens") / 2048)
+    work = F.sum(F.col("n_tokens") + F.col("n_tokens").cast("double") * F.col("n_tokens") / _capacity(spark, sf_dir))
     each = p7_packed(spark, sf_dir).groupBy("shard", "container").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"), work.alias("cost"))
     return each.agg(
         F.count("*").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("most_tokens"), F.sum("n_pieces").alias("n_pieces"), F.round(F.max("cost") / F.avg("cost"), 3).alias("cost_spread")
