@@ -62,8 +62,10 @@ def search_components(ws: Workspace, requests: DataFrame, limit: int = 8) -> Dat
     described = counted.join(ws.export_words.where("described"), ["system_id", "word"]).groupBy("query_id", "export").agg(F.sum("copies").alias("n"))
     by_description = hit(described, F.lit(DESCRIPTION) + F.col("n"), F.lit("description"), 5)
 
-    said = ws.chunks.select("system_id", "mentions", F.explode(F.array_distinct(words(F.concat_ws(" ", "heading", "text")))).alias("word"))
-    mentioned = counted.join(said.where("size(mentions) > 0"), ["system_id", "word"]).select("query_id", "system_id", F.explode("mentions").alias("mention")).distinct()
+    # What is mentioned beside a word is made distinct before the queries meet it, however many chunks have the word.
+    said = ws.chunks.where("size(mentions) > 0").select("system_id", "mentions", F.explode(F.array_distinct(words(F.concat_ws(" ", "heading", "text")))).alias("word"))
+    beside = said.join(counted.select("system_id", "word").distinct(), ["system_id", "word"], "left_semi").select("system_id", "word", F.explode("mentions").alias("mention")).distinct()
+    mentioned = counted.join(beside, ["system_id", "word"]).select("query_id", "system_id", "mention").distinct()
     by_docs = hit(ws.found_loosely(mentioned.where("mention is not null"), "mention"), F.lit(DOCS), F.lit("docs"), 6)
 
     hits = by_name.unionByName(by_alias).unionByName(by_concept).unionByName(by_prop).unionByName(by_description).unionByName(by_docs)
@@ -81,10 +83,9 @@ def search_docs(ws: Workspace, requests: DataFrame, limit: int = 5) -> DataFrame
     score but filters nothing. Equal scores are ranked by path, heading and id.
     """
     counted = query_words(requests, meaningful(words(F.col("query"))))
-    chunk = ws.chunks.select("chunk_id", "system_id", words(F.col("heading")).alias("h"), words(F.concat_ws(" ", "trail")).alias("t"), words(F.col("text")).alias("b"))
-    every = chunk.select("chunk_id", "system_id", "h", "t", "b", F.explode(F.array_distinct(F.concat("h", "t", "b"))).alias("word"))
-    has = lambda field: F.array_contains(field, F.col("word"))
-    index = every.select("chunk_id", "system_id", "word", has("h").alias("h"), has("t").alias("t"), has("b").alias("b"))
+    tagged = lambda field, text: F.transform(F.array_distinct(words(text)), lambda w: F.struct(F.lit(field).alias("field"), w.alias("word")))
+    every = F.concat(tagged("h", F.col("heading")), tagged("t", F.concat_ws(" ", "trail")), tagged("b", F.col("text")))
+    index = ws.chunks.select("chunk_id", "system_id", F.explode(every).alias("e")).select("chunk_id", "system_id", "e.word", *[(F.col("e.field") == f).alias(f) for f in "htb"])
     zero = F.lit(0).cast("long")
     matched = counted.join(index, ["system_id", "word"]).select("query_id", "chunk_id", "h", "t", F.when(F.col("b"), F.col("copies")).otherwise(zero).alias("n"), F.lit(False).alias("c"))
     asked = requests.select("query_id", "system_id", F.lower(trimmed(F.col("component"))).alias("m")).where("m != ''")

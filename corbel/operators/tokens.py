@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.color import color_distance, parse_color, parse_px
 from ..functions.text import natural_key, segments, words
+from ..session import stage
 from .search import query_words, top
 
 _VAR = r"^var\((--[\w-]+)\)$"
-# Requests meet the tokens of their system in this many blocks, so that one system's tokens spread over as many tasks.
-BLOCKS = 16
 
 
 def resolved_values(tokens: DataFrame, hops: int = 5) -> DataFrame:
@@ -30,50 +30,120 @@ def resolved_values(tokens: DataFrame, hops: int = 5) -> DataFrame:
     index = tokens.where("css_var is not null").groupBy(F.col("system_id").alias("_system"), F.col("css_var").alias("_css")).agg(
         F.min_by(F.struct("token_id", "value", "values_by_theme"), F.struct("pos", "token_id")).alias("_t")
     )
-    for hop in range(hops + 1):
-        link = F.regexp_extract(F.trim("value"), _VAR, 1)
-        asked = state.withColumn("_link", F.when(link != "", link))
-        if hop == hops:
-            state = asked.where("_link is null").drop("_link")
+    link = F.regexp_extract(F.trim("value"), _VAR, 1)
+    linked = F.coalesce(link, F.lit("")) != ""
+    done = state.where(~linked)
+    going = stage(state.where(linked), "linked")
+    for _ in range(hops):
+        # Only values that are links look further; after a round or two there are none.
+        if going.isEmpty():
             break
-        joined = asked.join(index, (F.col("_link") == F.col("_css")) & (F.col("system_id") == F.col("_system")), "left")
+        joined = going.withColumn("_link", link).join(index, (F.col("_link") == F.col("_css")) & (F.col("system_id") == F.col("_system")))
         own = F.get(F.filter("_t.values_by_theme", lambda v: v["theme"] == F.col("theme")), F.lit(0))["value"]
-        value = F.when(F.col("_link").isNull(), F.col("value")).when(F.col("_t.token_id") != F.col("at"), F.coalesce(own, "_t.value"))
-        state = joined.select("token_id", "system_id", "category", "theme_pos", "theme", value.alias("value"), F.coalesce("_t.token_id", "at").alias("at"))
-    return state.where("value is not null").select("token_id", "system_id", "category", "theme_pos", "theme", "value")
+        now = joined.where(F.col("_t.token_id") != F.col("at")).select("token_id", "system_id", "category", "theme_pos", "theme", F.coalesce(own, "_t.value").alias("value"), F.col("_t.token_id").alias("at"))
+        now = stage(now, "linked")
+        done, going = done.unionByName(now.where(~linked)), now.where(linked)
+    return done.where("value is not null").select("token_id", "system_id", "category", "theme_pos", "theme", "value")
 
 
-def _met(requests: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The requests against all tokens of their system, in blocks."""
-    asked = requests.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    return asked.join(tokens.withColumn("_block", F.pmod(F.xxhash64("token_id"), F.lit(BLOCKS)).cast("int")), ["system_id", "_block"])
+def _asked(requests: DataFrame) -> DataFrame:
+    """requests with a category, null where any will do."""
+    return requests if "category" in requests.columns else requests.withColumn("category", F.lit(None).cast("string"))
+
+
+def _around(own: Column, reach: int, dimensions: int) -> Column:
+    """The coordinates of all cells up to reach away from a cell in each direction."""
+    every = F.array(F.array().cast("array<int>"))
+
+    def wider(cells: Column, steps: Column) -> Column:
+        return F.flatten(F.transform(cells, lambda cell: F.transform(steps, lambda v: F.concat(cell, F.array(v)))))
+
+    for d in range(dimensions):
+        every = wider(every, F.sequence(own[d] - reach, own[d] + reach))
+    return every
+
+
+def _nearest(requests: DataFrame, points: DataFrame, cell, distance, width: float, limit: int) -> DataFrame:
+    """query_id, rank, token_id, distance, theme of the `limit` nearest tokens of each request.
+
+    requests(query_id, grp, wanted), points(grp, token_id, pos, theme_pos, theme,
+    place). Equal requests are answered once, and of the tokens at one place only
+    the first `limit` can be among the nearest. Space is cut into cells of a width;
+    cell(column) gives a place's coordinates. A request first meets the cells next
+    to its own, then those up to three away: if its last token is no farther than
+    these reach in every direction, none outside is nearer. Only requests that are
+    still open meet all places of their group.
+    """
+    at = ["grp", "place"]
+    tokens = points.groupBy(*at, "pos", "token_id").agg(F.min(F.struct("theme_pos", "theme")).alias("w"))
+    first = W.partitionBy(*at).orderBy("pos", "token_id")
+    kept = tokens.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).withColumn("cell", cell(F.col("place")))
+    kept = stage(kept.select(*at, "cell", "pos", "token_id", "w.*"), "places")
+    asked = requests.select("grp", "wanted").distinct()
+    dimensions = 1 if dict(requests.dtypes)["wanted"] == "double" else 3
+    found, open_ = None, stage(asked.withColumn("own", cell(F.col("wanted"))), "asked")
+    for reach in (1, 3, None):
+        if reach is None:
+            met = open_.join(kept, "grp")
+        else:
+            met = open_.withColumn("cell", F.explode(_around(F.col("own"), reach, dimensions))).join(kept, ["grp", "cell"])
+        near = F.min(F.struct(distance(F.col("place"), F.col("wanted")).alias("distance"), "theme_pos", "theme")).alias("n")
+        each = met.groupBy("grp", "wanted", "own", "pos", "token_id").agg(near)
+        order = W.partitionBy("grp", "wanted").orderBy("n.distance", "pos", "token_id")
+        ranked = each.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= limit)
+        ranked = ranked.select("grp", "wanted", "own", "rank", "token_id", "n.distance", "n.theme")
+        if reach is not None:
+            ranked = stage(ranked, "near")
+            closed = ranked.groupBy("grp", "wanted").agg(F.max("rank").alias("n"), F.max("distance").alias("d")).where((F.col("n") == limit) & (F.col("d") <= reach * width)).select("grp", "wanted")
+            ranked, open_ = ranked.join(closed, ["grp", "wanted"], "left_semi"), stage(open_.join(closed, ["grp", "wanted"], "left_anti"), "asked")
+        found = ranked if found is None else found.unionByName(ranked)
+        if open_.isEmpty():
+            break
+    return requests.join(found.drop("own"), ["grp", "wanted"]).select("query_id", "rank", "token_id", F.round("distance", 6).alias("distance"), "theme")
 
 
 def nearest_colors(tokens: DataFrame, requests: DataFrame, limit: int = 6) -> DataFrame:
-    """query_id, rank, token_id, distance, theme for requests(query_id, system_id, query) that are colours.
+    """query_id, rank, token_id, distance, theme for requests(query_id, system_id, query[, category]) that are colours.
 
     Only colour tokens compete, each with its nearest theme, the first of equal
-    ones. Queries that are no colour have no rows; ties go by position and id.
+    ones; a request for another category has none. Queries that are no colour have
+    no rows; ties go by position and id.
     """
-    asked = requests.select("query_id", "system_id", parse_color(F.col("query")).alias("wanted")).where("wanted is not null")
-    ways = resolved_values(tokens).where("category = 'color'").select("token_id", "system_id", "theme_pos", "theme", parse_color(F.col("value")).alias("rgb")).where("rgb is not null")
-    each = ways.groupBy("token_id", "system_id").agg(F.array_sort(F.collect_list(F.struct("theme_pos", "theme", "rgb"))).alias("ways"))
-    each = each.join(tokens.select("token_id", "pos"), "token_id")
-    near = F.array_min(F.transform("ways", lambda w: F.struct(color_distance(w["rgb"], F.col("wanted")).alias("distance"), w["theme_pos"].alias("theme_pos"), w["theme"].alias("theme"))))
-    met = _met(asked, each).select("query_id", "token_id", "pos", near.alias("n")).select("query_id", "token_id", "pos", "n.distance", "n.theme")
-    return top(met, "query_id", [F.asc("distance"), F.asc("pos"), F.asc("token_id")], limit).select("query_id", "rank", "token_id", F.round("distance", 6).alias("distance"), "theme")
+    asked = _asked(requests).where("category is null or category = 'color'").select("query_id", F.col("system_id").alias("grp"), parse_color(F.col("query")).alias("wanted")).where("wanted is not null")
+    ways = resolved_values(tokens).where("category = 'color'").select(F.col("system_id").alias("grp"), "token_id", "theme_pos", "theme", parse_color(F.col("value")).alias("place")).where("place is not null")
+    points = ways.join(tokens.select("token_id", "pos"), "token_id")
+    return _nearest(asked, points, lambda c: F.array(*[F.floor(c[k] / 32).cast("int") for k in "rgb"]), color_distance, 32, limit)
 
 
 def nearest_lengths(tokens: DataFrame, requests: DataFrame, limit: int = 6) -> DataFrame:
-    """query_id, rank, token_id, distance for requests that are lengths; space, size and radius tokens compete with their default value."""
-    asked = requests.select("query_id", "system_id", parse_px(F.col("query")).alias("wanted")).where("wanted is not null")
-    px = resolved_values(tokens).where("theme_pos = 0 and category in ('space', 'size', 'radius')").select("token_id", "system_id", parse_px(F.col("value")).alias("px")).where("px is not null")
-    met = _met(asked, px.join(tokens.select("token_id", "pos"), "token_id")).select("query_id", "token_id", "pos", F.abs(F.col("px") - F.col("wanted")).alias("distance"))
-    return top(met, "query_id", [F.asc("distance"), F.asc("pos"), F.asc("token_id")], limit).select("query_id", "rank", "token_id", F.round("distance", 6).alias("distance"))
+    """query_id, rank, token_id, distance for requests(query_id, system_id, query[, category]) that are lengths.
+
+    Space, size and radius tokens, or those of them that are asked for, compete
+    with their default value.
+    """
+    group = lambda category: F.struct("system_id", category.alias("category"))
+    asked = _asked(requests).select("query_id", group(F.coalesce("category", F.lit("*"))).alias("grp"), parse_px(F.col("query")).alias("wanted")).where("wanted is not null")
+    px = resolved_values(tokens).where("theme_pos = 0 and category in ('space', 'size', 'radius')").withColumn("category", F.explode(F.array(F.lit("*"), "category")))
+    px = px.select(group(F.col("category")).alias("grp"), "token_id", "theme_pos", "theme", parse_px(F.col("value")).alias("place")).where("place is not null")
+    points = px.join(tokens.select("token_id", "pos"), "token_id")
+    return _nearest(asked, points, lambda c: F.array(F.floor(c / 8).cast("int")), lambda a, b: F.abs(a - b), 8, limit).drop("theme")
+
+
+def find_tokens(tokens: DataFrame, requests: DataFrame, limit: int = 6) -> DataFrame:
+    """query_id, rank, token_id, how, score for requests(query_id, system_id, query[, category]).
+
+    A colour finds the nearest colours, a length the nearest lengths (score is the
+    distance), anything else the tokens by words (score is theirs).
+    """
+    requests = _asked(requests)
+    color, px = parse_color(F.col("query")).isNotNull(), parse_px(F.col("query")).isNotNull()
+    shaped = lambda df, how, score: df.select("query_id", "rank", "token_id", F.lit(how).alias("how"), F.col(score).cast("double").alias("score"))
+    out = shaped(nearest_colors(tokens, requests, limit), "color", "distance").unionByName(shaped(nearest_lengths(tokens, requests.where(~color), limit), "length", "distance"))
+    return out.unionByName(shaped(tokens_by_words(tokens, requests.where(~color & ~px), limit), "words", "score"))
 
 
 def tokens_by_words(tokens: DataFrame, requests: DataFrame, limit: int = 6) -> DataFrame:
-    """query_id, rank, token_id, score for requests in words.
+    """query_id, rank, token_id, score for requests(query_id, system_id, query[, category]) in words.
 
     30 for every part of the name that is asked for, repeated parts again, 15 for
     the category, 10 once for the description. Ties go by position and id.
@@ -86,13 +156,27 @@ def tokens_by_words(tokens: DataFrame, requests: DataFrame, limit: int = 6) -> D
     is_ = lambda kind: F.col("kind") == kind
     score = F.sum(F.when(is_("name"), 30 * F.col("n")).when(is_("category"), 15).otherwise(0)) + F.max(F.when(is_("description"), 10).otherwise(0))
     scored = asked.join(parts, ["system_id", "word"]).groupBy("query_id", "token_id").agg(score.cast("int").alias("score"))
-    ranked = scored.join(tokens.select("token_id", "pos"), "token_id")
+    ranked = _filed(scored, tokens, requests).join(tokens.select("token_id", "pos"), "token_id")
     return top(ranked, "query_id", [F.desc("score"), F.asc("pos"), F.asc("token_id")], limit).select("query_id", "rank", "token_id", "score")
 
 
+def _filed(found: DataFrame, tokens: DataFrame, requests: DataFrame) -> DataFrame:
+    """The rows of found(query_id, token_id, ...) whose token has the category that its request asks for, if any."""
+    if "category" not in requests.columns:
+        return found
+    wanted = requests.where("category is not null").select("query_id", F.col("category").alias("_wanted"))
+    filed = tokens.select("token_id", F.col("category").alias("_filed"))
+    df = found.join(wanted, "query_id", "left").join(filed, "token_id").where("_wanted is null or _wanted = _filed")
+    return df.drop("_wanted", "_filed")
+
+
 def listed_tokens(tokens: DataFrame, requests: DataFrame, limit: int = 40) -> DataFrame:
-    """query_id, rank, token_id, name: tokens with any query word in name or description, in natural order."""
+    """query_id, rank, token_id, name: tokens with any query word in name or description, in natural order.
+
+    requests(query_id, system_id, query[, category]); a category leaves only its tokens.
+    """
     asked = query_words(requests, words(F.col("query"))).drop("copies")
     known = tokens.select("token_id", "system_id", F.explode(F.array_distinct(F.concat(segments(F.col("name")), words(F.col("description"))))).alias("word"))
-    met = asked.join(known, ["system_id", "word"]).select("query_id", "token_id").distinct().join(tokens.select("token_id", "name"), "token_id")
+    met = asked.join(known, ["system_id", "word"]).select("query_id", "token_id").distinct()
+    met = _filed(met, tokens, requests).join(tokens.select("token_id", "name"), "token_id")
     return top(met.withColumn("_key", natural_key(F.col("name"))), "query_id", [F.asc("_key"), F.asc("name"), F.asc("token_id")], limit).select("query_id", "rank", "token_id", "name")

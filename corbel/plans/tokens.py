@@ -36,6 +36,23 @@ def nearest_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.nearest_lengths(ws.tokens, _values(ws))
 
 
+def find_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values and, for every other token, its needs in words as queries; two of three within the token's category."""
+    ws = Workspace(spark, sf_dir)
+    asked = ws.tokens.where("token_id % 20 = 0")
+    said = F.concat_ws(" ", F.array_join(segments(F.col("name")), " "), "description")
+    query = F.when(F.col("token_id") % 40 == 0, F.col("value")).otherwise(said)
+    category = F.when(F.col("token_id") % 3 != 0, F.col("category"))
+    return ops.find_tokens(ws.tokens, asked.select(F.col("token_id").alias("query_id"), "system_id", query.alias("query"), category.alias("category")).where("query is not null"))
+
+
+def list_tokens_of_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As list_tokens, within the token's category."""
+    ws = Workspace(spark, sf_dir)
+    asked = ws.tokens.where("token_id % 20 = 0")
+    return ops.listed_tokens(ws.tokens, asked.select(F.col("token_id").alias("query_id"), "system_id", F.array_join(F.slice(segments(F.col("name")), 2, 2), " ").alias("query"), "category"))
+
+
 def token_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, sf_dir)
     return ops.tokens_by_words(ws.tokens, _needs(ws))
@@ -70,7 +87,7 @@ def name_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Workspace(spark, sf_dir).tokens.select("token_id", F.array_join(segments(c), " ").alias("parts"), F.array_join(words(F.col("description")), " ").alias("said"), kebab(c).alias("kebab"))
 
 
-QUERIES = {f.__name__: f for f in (resolved_values, nearest_colors, nearest_lengths, token_words, list_tokens, token_categories, token_counts, token_lines, name_functions)}
+QUERIES = {f.__name__: f for f in (resolved_values, nearest_colors, nearest_lengths, find_tokens, token_words, list_tokens, list_tokens_of_category, token_categories, token_counts, token_lines, name_functions)}
 
 _CH = "[0-9A-Za-z_-]"
 _LINK = f"nullif(regexp_extract(trim(value), '^var\\((--{_CH}+)\\)$', 1), '')"
@@ -133,3 +150,16 @@ SELECT category, CASE {' '.join(name_rule(*r) for r in NAME_RULES)} WHEN regexp_
 SELECT token_id, write, '- ' || write || ': ' || v || CASE WHEN t != '' THEN ' (' || t || ')' ELSE '' END AS line FROM a""",
     "name_functions": f"""WITH {sql.TOKENS} SELECT token_id, array_to_string({sql.segments('name')}, ' ') AS parts, array_to_string({sql.words('description')}, ' ') AS said, lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1-\\2', 'g')) AS kebab FROM tk""",
 }
+_FIND = f"""q AS (SELECT token_id AS query_id, system_id, value, CASE WHEN token_id % 40 != 0 THEN concat_ws(' ', array_to_string({sql.segments('name')}, ' '), description) END AS said, CASE WHEN token_id % 3 != 0 THEN category END AS cat FROM tk WHERE token_id % 20 = 0),
+qv AS (SELECT query_id, system_id, cat, {_RGB} AS w, {_PX} AS p, value FROM (SELECT * REPLACE (CASE WHEN said IS NULL THEN value ELSE said END AS value) FROM q) WHERE value IS NOT NULL)"""
+ORACLES["find_tokens"] = f"""WITH {_resolved()}, {_FIND}, cl AS (SELECT token_id, system_id, theme_pos, theme, {_RGB} AS c FROM rv WHERE category = 'color'),
+px AS (SELECT token_id, system_id, category, {_PX} AS v FROM rv WHERE theme_pos = 0 AND category IN ('space', 'size', 'radius')),
+hits AS (SELECT query_id, cl.token_id, 'color' AS how, min(sqrt((c.r - w.r) ** 2 + (c.g - w.g) ** 2 + (c.b - w.b) ** 2)) AS score FROM qv JOIN cl USING (system_id) WHERE c.r IS NOT NULL AND w.r IS NOT NULL AND coalesce(cat, 'color') = 'color' GROUP BY ALL
+UNION ALL SELECT query_id, px.token_id, 'length', abs(v - p) FROM qv JOIN px USING (system_id) WHERE w.r IS NULL AND v IS NOT NULL AND p IS NOT NULL AND coalesce(cat, category) = category
+UNION ALL SELECT query_id, token_id, 'words', CAST(sum(CASE kind WHEN 'name' THEN 30 WHEN 'category' THEN 15 ELSE 0 END) + max(CASE kind WHEN 'description' THEN 10 ELSE 0 END) AS DOUBLE)
+FROM (SELECT DISTINCT query_id, system_id, cat, unnest({sql.words('value')}) AS word FROM qv WHERE w.r IS NULL AND p IS NULL) JOIN
+(SELECT token_id, system_id, category, unnest({sql.segments('name')}) AS word, 'name' AS kind FROM tk UNION ALL SELECT token_id, system_id, category, category, 'category' FROM tk UNION ALL SELECT token_id, system_id, category, unnest(list_distinct({sql.words('description')})), 'description' FROM tk) USING (system_id, word)
+WHERE coalesce(cat, category) = category GROUP BY query_id, token_id),
+z AS (SELECT hits.*, row_number() OVER (PARTITION BY query_id ORDER BY CASE how WHEN 'words' THEN -score ELSE score END, pos, hits.token_id) AS rank FROM hits JOIN tk ON tk.token_id = hits.token_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, token_id, how, round(score, 6) AS score FROM z WHERE rank <= 6"""
+ORACLES["list_tokens_of_category"] = ORACLES["list_tokens"].replace("SELECT DISTINCT token_id AS query_id, system_id,", "SELECT DISTINCT token_id AS query_id, system_id, category,").replace("SELECT token_id, system_id, unnest(list_distinct(", "SELECT token_id, system_id, category, unnest(list_distinct(").replace("USING (system_id, word)", "USING (system_id, category, word)")
