@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import camel, kebab, literal_union, raw_values, spellings, universal_attribute
+from ..session import stage
 from ..sources.catalog import Workspace
 from ..sources.markup import elements, imported, language
 from .merge import first_by
 from .tokens import nearest_colors, nearest_lengths
 
+# Fixed value: what a style entry is if it is a raw colour or length as a whole.
+RAW_VALUE = r"(?i)^(#([0-9a-f]{8}|[0-9a-f]{6}|[0-9a-f]{4}|[0-9a-f]{3})|(rgba?|hsla?)\([^)]*\)|-?\d*\.?\d+px)$"
+# Fixed value: names of elements that show an icon only.
+ICON_ONLY = "(?i)IconButton|Icon-only|icon-button"
 COLUMNS = ["snippet_id", "el", "line", "kind", "severity", "subject", "message", "fix"]
 
 
@@ -48,12 +54,15 @@ def resolved_elements(ws: Workspace, snippets: DataFrame) -> DataFrame:
     els = els.join(bound, (F.col("snippet_id") == F.col("_s")) & (base == F.col("_l")), "left")
     ours = (F.col("module") == F.col("system_id")) | F.col("module").startswith(F.concat("system_id", F.lit("/")))
     meant = F.when(F.col("tag").contains("-"), F.col("tag")).when((F.col("language") == "tsx") & ours, F.col("_real"))
-    els = els.withColumn("meant", meant).drop("_s", "_l", "_real")
+    els = stage(els.withColumn("meant", meant).drop("_s", "_l", "_real"), "elements")
+    # Plain elements mean nothing: they stay out of the joins, where they would all share one key.
+    named, plain = els.where("meant is not null"), els.where("meant is null")
     cat = catalog_of(ws).select(F.col("system_id").alias("_cs"), F.col("name").alias("_cn"), "props", "allowed", "deprecated")
     known = ws.symbols.select(F.col("system_id").alias("_ks"), F.col("name").alias("_kn")).distinct()
-    els = els.join(cat, (F.col("system_id") == F.col("_cs")) & (F.col("meant") == F.col("_cn")), "left").join(known, (F.col("system_id") == F.col("_ks")) & (F.col("meant") == F.col("_kn")), "left")
-    how = F.when(F.col("meant").isNull(), None).when(F.col("_cn").isNotNull(), "documented").when(F.col("_kn").isNotNull(), "undocumented").otherwise("unknown")
-    return els.withColumn("resolved", how).drop("_cs", "_cn", "_ks", "_kn")
+    named = named.join(cat, (F.col("system_id") == F.col("_cs")) & (F.col("meant") == F.col("_cn")), "left").join(known, (F.col("system_id") == F.col("_ks")) & (F.col("meant") == F.col("_kn")), "left")
+    how = F.when(F.col("_cn").isNotNull(), "documented").when(F.col("_kn").isNotNull(), "undocumented").otherwise("unknown")
+    named = named.withColumn("resolved", how).drop("_cs", "_cn", "_ks", "_kn")
+    return stage(named.unionByName(plain, allowMissingColumns=True), "resolved")
 
 
 def check_elements(ws: Workspace, els: DataFrame) -> DataFrame:
@@ -93,7 +102,7 @@ def check_elements(ws: Workspace, els: DataFrame) -> DataFrame:
     out = out.unionByName(_finding(invented, "invented-prop", F.lit("warning"), subject, text, F.concat(F.lit("use '"), best, F.lit("' instead"))))
 
     labelled = F.exists("attrs", lambda a: a["name"].isin("aria-label", "aria-labelledby", "title", "label") & (F.trim(F.coalesce(a["value"], F.lit(""))) != ""))
-    nameless = real.where(F.col("meant").rlike("(?i)IconButton|Icon-only|icon-button") & ~labelled & ~F.col("has_children"))
+    nameless = real.where(F.col("meant").rlike(ICON_ONLY) & ~labelled & ~F.col("has_children"))
     return out.unionByName(_finding(nameless, "missing-accessible-name", F.lit("error"), F.col("meant"), F.concat(F.lit("'"), "meant", F.lit("' needs an accessible name")), F.lit(None)))
 
 
@@ -101,15 +110,16 @@ def check_raw_values(ws: Workspace, els: DataFrame) -> DataFrame:
     """Raw colours and lengths in class and style attributes, with the nearest token as the fix."""
     one = F.lower("a.name") == "style"
     attrs = els.select("snippet_id", "el", "line", "system_id", "tag", F.explode("attrs").alias("a")).where(one | F.col("a.name").isin("class", "className"))
-    entries = F.transform(F.split("a.value", ";"), lambda d: F.trim(F.regexp_replace(d, r"^[^:]*:", "")))
-    whole = F.filter(entries, lambda v: v.rlike(r"(?i)^(#([0-9a-f]{8}|[0-9a-f]{6}|[0-9a-f]{4}|[0-9a-f]{3})|(rgba?|hsla?)\([^)]*\)|-?\d*\.?\d+px)$"))
-    found = attrs.where("a.value is not null").withColumn("raw", F.explode(F.when(one, whole).otherwise(raw_values(F.col("a.value")))))
+    entry = lambda d: F.struct(F.concat(F.lit("style."), F.trim(F.regexp_extract(d, r"^([^:]*):", 1))).alias("where"), F.trim(F.regexp_replace(d, r"^[^:]*:", "")).alias("raw"))
+    whole = F.filter(F.transform(F.split("a.value", ";"), entry), lambda v: v["raw"].rlike(RAW_VALUE))
+    parts = F.transform(raw_values(F.col("a.value")), lambda v: F.struct(F.col("a.name").alias("where"), v.alias("raw")))
+    found = attrs.where("a.value is not null").withColumn("r", F.explode(F.when(one, whole).otherwise(parts))).select("*", "r.where", "r.raw")
     asked = found.select("system_id", F.col("raw").alias("query")).distinct().withColumn("query_id", F.xxhash64("system_id", "query"))
     near = nearest_colors(ws.tokens, asked, 1).select("query_id", "token_id").unionByName(nearest_lengths(ws.tokens, asked, 1).select("query_id", "token_id"))
     write = F.when(F.col("css_var").isNotNull(), F.concat(F.lit("use var("), "css_var", F.lit(")"))).otherwise(F.concat(F.lit("use "), "name"))
     fixes = near.join(ws.tokens.select("token_id", write.alias("fix")), "token_id").select("query_id", F.col("fix").alias("_fix"))
     rows = found.withColumn("query_id", F.xxhash64("system_id", "raw")).join(fixes, "query_id", "left")
-    text = F.concat(F.lit("Raw value '"), "raw", F.lit("' in "), "a.name")
+    text = F.concat(F.lit("Raw value '"), "raw", F.lit("' in "), "where")
     return _finding(rows, "raw-value", F.lit("warning"), F.col("tag"), text, F.coalesce("_fix", F.lit("use a design token")))
 
 
@@ -139,6 +149,12 @@ def check_usage(ws: Workspace, snippets: DataFrame) -> DataFrame:
     return check_elements(ws, els).unionByName(check_raw_values(ws, els)).unionByName(check_imports(ws, snippets))
 
 
+def usage_report(ws: Workspace, snippets: DataFrame) -> DataFrame:
+    """check_usage with the `rank` of each finding in its snippet: by line, then kind, then element."""
+    order = [F.asc("line"), F.asc("kind"), F.asc("subject"), F.asc("fix"), F.asc("el"), F.asc("message")]
+    return check_usage(ws, snippets).withColumn("rank", F.row_number().over(W.partitionBy("snippet_id").orderBy(*order)))
+
+
 def used_components(ws: Workspace, snippets: DataFrame) -> DataFrame:
     """snippet_id and the real components it uses, sorted."""
     used = resolved_elements(ws, snippets).where("resolved in ('documented', 'undocumented')")

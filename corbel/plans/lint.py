@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import UNIVERSAL_ATTRIBUTES
 from ..operators import lint
+from ..operators.merge import first_by
 from ..sources import markup
 from ..sources.catalog import Workspace
-from . import sql
+from . import sql, tokens
 
+# Names that need no quotes in a snippet.
+_PLAIN = "^[A-Za-z][A-Za-z0-9-]*$"
 _FENCE = r"```[^\n`]*\n([\s\S]*?)```"
 
 
@@ -49,7 +52,29 @@ def used_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.used_components(ws, snippets(ws))
 
 
-QUERIES = {f.__name__: f for f in (code_elements, code_languages, element_findings, usage_report, used_components)}
+def made_snippets(ws: Workspace) -> DataFrame:
+    """A snippet for each export name, with mistakes made on purpose: an element where the name has a dash, else an import with JSX."""
+    first = first_by(ws.exports, ["system_id", "display_name"], ["pos", "module_id", "epos"])
+    prop = F.get(F.filter("props", lambda p: p["name"].rlike(_PLAIN)), F.lit(0))["name"]
+    attr = F.coalesce(F.concat(F.lit(" "), prop, F.lit('="nope"')), F.lit(""))
+    name = F.col("display_name")
+    html = F.concat(F.lit("<"), name, attr, F.lit(' zz-made-up="1" style="color: #336699; width: 13px"></'), name, F.lit(">"))
+    tsx = F.concat(F.lit("import { "), name, F.lit(", ZzMadeUp } from '"), "system_id", F.lit("';\nimport { pick } from 'zz-tools';\n<"), name, attr, F.lit(" zzMadeUp=\"1\" className=\"a [7px]\" style={{ color: '#336699', width: 13 }} />"))
+    return first.select(F.concat_ws("/", "module_id", "epos").alias("snippet_id"), "system_id", F.when(name.contains("-"), html).otherwise(tsx).alias("code"))
+
+
+def usage_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings in order, of snippets in both languages made from the exports."""
+    ws = Workspace(spark, sf_dir)
+    return lint.usage_report(ws, made_snippets(ws)).select("snippet_id", "rank", "line", "kind", "severity", "subject", "fix")
+
+
+def made_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language that each snippet made from an export is taken for."""
+    return made_snippets(Workspace(spark, sf_dir)).select("snippet_id", markup.language(F.col("code")).alias("language"))
+
+
+QUERIES = {f.__name__: f for f in (code_elements, code_languages, element_findings, usage_report, used_components, usage_findings, made_languages)}
 
 _SNIPPETS = """f0 AS (SELECT chunk_id, system_id, regexp_extract_all(text, '```[^\\n`]*\\n([\\s\\S]*?)```', 1) AS b FROM ch),
 sn AS (SELECT chunk_id || '/' || n AS snippet_id, system_id, code FROM (SELECT chunk_id, system_id, unnest(b) AS code, unnest(range(len(b))) AS n FROM f0)),
@@ -89,3 +114,28 @@ UNION ALL SELECT snippet_id, line, 'invalid-value', CASE WHEN ty IN ('boolean',
 FROM vm WHERE CASE ty WHEN 'boolean' THEN value NOT IN ('true', 'false') WHEN 'number' THEN trim(value) = '' OR TRY_CAST(value AS DOUBLE) IS NULL ELSE coalesce(NOT list_contains(mb, value), false) END
 UNION ALL SELECT snippet_id, line, 'invented-prop', 'warning', tag || '.' || name, 'use ''' || coalesce({_match('target')}, {_match('iv.name')}) || ''' instead' FROM iv""",
 }
+_MADE = f"""ct AS (SELECT *, module_id || '/' || epos AS snippet_id, list_filter(props, lambda p: regexp_matches(p.name, '{_PLAIN}'))[1] AS p, contains(display_name, '-') AS html FROM (SELECT *, row_number() OVER (PARTITION BY system_id, display_name ORDER BY pos, module_id, epos) AS n FROM ex) WHERE n = 1)"""
+
+
+def _nearest_fix(name: str, source: str, distance: str) -> str:
+    write = "CASE WHEN tk.css_var IS NOT NULL THEN 'use var(' || tk.css_var || ')' ELSE 'use ' || tk.name END"
+    return f"{name} AS (SELECT {source}.system_id, min_by({write}, {{'d': {distance}, 'pos': tk.pos, 'id': tk.token_id}}) AS fix FROM {source} JOIN tk ON tk.token_id = {source}.token_id WHERE {distance} IS NOT NULL GROUP BY ALL)"
+
+
+ORACLES["usage_findings"] = f"""WITH {tokens._resolved()}, {sql.EXPORTS}, {sql.SYMBOLS}, {_MADE}, cl AS (SELECT token_id, system_id, {tokens._RGB} AS c FROM rv WHERE category = 'color'),
+px AS (SELECT token_id, system_id, {tokens._PX} AS v FROM rv WHERE theme_pos = 0 AND category IN ('space', 'size', 'radius')),
+{_nearest_fix('fc', 'cl', 'sqrt((c.r - 51) ** 2 + (c.g - 102) ** 2 + (c.b - 153) ** 2)')}, {_nearest_fix('f13', 'px', 'abs(v - 13)')}, {_nearest_fix('f7', 'px', 'abs(v - 7)')},
+el AS (SELECT *, CASE WHEN html THEN 1 ELSE 3 END AS line, display_name || '.' || p.name AS at_, trim(p.type) AS ty, NOT list_contains({_UNIVERSAL}, p.name) AND NOT regexp_matches(p.name, '^(data-|aria-|on[A-Z]|on-|@)') AS own FROM ct),
+un AS (SELECT *, list_filter(list_transform(string_split(ty, '|'), lambda x: trim(x)), lambda x: x != 'undefined') AS mq FROM el WHERE own),
+raw AS (SELECT system_id, snippet_id, line, display_name, unnest(CASE WHEN html THEN ['c', '13'] ELSE ['c', '13', '7'] END) AS what FROM el),
+fd AS (SELECT snippet_id, line, 'deprecated' AS kind, 'warning' AS severity, display_name AS subject, deprecated.replacement AS fix FROM el WHERE deprecated IS NOT NULL
+UNION ALL SELECT snippet_id, line, 'deprecated', 'warning', at_, p.deprecated FROM el WHERE own AND p.deprecated != ''
+UNION ALL SELECT snippet_id, line, 'invalid-value', 'warning', at_, NULL FROM un WHERE ty IN ('boolean', 'number')
+UNION ALL SELECT snippet_id, line, 'invalid-value', 'error', at_, 'one of ' || array_to_string(list_transform(mq, lambda x: x[2:-2]), ', ') FROM un WHERE len(mq) > 0 AND len(list_filter(mq, lambda x: NOT regexp_full_match(x, '''.*''|".*"'))) = 0
+UNION ALL SELECT snippet_id, line, 'invented-prop', 'warning', display_name || CASE WHEN html THEN '.zz-made-up' ELSE '.zzMadeUp' END, NULL FROM el
+UNION ALL SELECT snippet_id, line, 'missing-accessible-name', 'error', display_name, NULL FROM el WHERE regexp_matches(display_name, '{lint.ICON_ONLY}')
+UNION ALL SELECT snippet_id, line, 'raw-value', 'warning', display_name, coalesce(CASE what WHEN 'c' THEN fc.fix WHEN '13' THEN f13.fix ELSE f7.fix END, 'use a design token') FROM raw LEFT JOIN fc USING (system_id) LEFT JOIN f13 USING (system_id) LEFT JOIN f7 USING (system_id)
+UNION ALL SELECT snippet_id, 2, 'disallowed-import', 'error', 'zz-tools', NULL FROM el WHERE NOT html
+UNION ALL SELECT snippet_id, 1, 'unknown-component', 'error', name, NULL FROM (SELECT snippet_id, system_id, unnest([display_name, 'ZzMadeUp']) AS name FROM el WHERE NOT html) i WHERE NOT EXISTS (SELECT 1 FROM sy WHERE sy.system_id = i.system_id AND sy.name = i.name))
+SELECT snippet_id, CAST(row_number() OVER (PARTITION BY snippet_id ORDER BY line, kind, subject, fix NULLS FIRST) AS INTEGER) AS rank, CAST(line AS INTEGER) AS line, kind, severity, subject, fix FROM fd"""
+ORACLES["made_languages"] = f"WITH {sql.EXPORTS}, {_MADE} SELECT snippet_id, CASE WHEN html THEN 'html' ELSE 'tsx' END AS language FROM ct"

@@ -16,6 +16,7 @@ _TAG = re.compile(r"<(/?)([A-Za-z][\w.-]*)")
 _NAME = re.compile(r"\s*([A-Za-z_:@][-\w:.]*)")
 _VALUE = re.compile(r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`{]+))""")
 _IMPORT = re.compile(r"""\bimport\s+(?:type\s+)?([^'";]*?)\s*(?:from\s*)?["']([^"']+)["']""")
+_STYLE = re.compile(r"""([A-Za-z_$][\w$]*|"[^"]+"|'[^']+')\s*:\s*(?:"([^"]*)"|'([^']*)'|`([^`$]*)`|(-?\d*\.?\d+)(?=\s*[,}]))""")
 _QUOTED = re.compile(r"""^\s*(["'`])([^"'`$]*)\1\s*$""")
 
 
@@ -29,6 +30,14 @@ def _braces(code: str, at: int) -> int:
     return len(code)
 
 
+def _declarations(literal: str) -> str | None:
+    """A style object as declarations: its quoted values, and its numbers as px."""
+    if not literal.lstrip().startswith("{"):
+        return None
+    entries = [(m[1].strip("\"'"), next(v for v in (m[2], m[3], m[4], f"{m[5]}px") if v is not None)) for m in _STYLE.finditer(literal)]
+    return "; ".join(f"{name}: {value}" for name, value in entries)
+
+
 def _attributes(code: str, at: int) -> tuple[list[tuple[str, str | None]], bool, bool, int]:
     """Attributes from a place in a tag: pairs, whether one is spread, whether it closes itself, and the tag's end."""
     attrs, spread = [], False
@@ -48,8 +57,9 @@ def _attributes(code: str, at: int) -> tuple[list[tuple[str, str | None]], bool,
             elif re.match(r"\s*=\s*\{", code[at : at + 20]):
                 start = code.index("{", at)
                 at = _braces(code, start)
-                q = _QUOTED.match(code[start + 1 : at - 1])
-                attrs.append((name, q[2] if q else None))
+                inner = code[start + 1 : at - 1]
+                q = _QUOTED.match(inner)
+                attrs.append((name, q[2] if q else _declarations(inner) if name == "style" else None))
             else:
                 attrs.append((name, None))
         else:
