@@ -352,6 +352,7 @@ def restore(text: str) -> tuple[str, int, bool]:
 
 # Ids with their few words; more than that meet the texts in a shuffled join.
 BROADCAST_IDS = 100_000
+BROADCAST_COPIES = 1_000_000
 _EDGE = re.compile(r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 
 
@@ -498,10 +499,16 @@ def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _first_of_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, text, content (a hash of the text), and whether the document is the first with that text."""
+    """doc_id, text, content (a hash of the text), and whether the document is the first with that text.
+
+    Of copied texts one row of two numbers each is broadcast, up to BROADCAST_COPIES
+    of them, so that no text is shuffled.
+    """
     hashed = docs.withColumn("content", F.xxhash64("text"))
     first = hashed.groupBy("content").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").select("content", "_first")
-    return hashed.join(stage(first, "copies"), "content", "left").select("doc_id", "text", "content", F.coalesce(F.col("doc_id") == F.col("_first"), F.lit(True)).alias("first"))
+    copies = stage(first, "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
+    return hashed.join(copies, "content", "left").select("doc_id", "text", "content", F.coalesce(F.col("doc_id") == F.col("_first"), F.lit(True)).alias("first"))
 
 
 def _together(maybe: DataFrame, judged: DataFrame, times: int, at_least: int) -> DataFrame:
