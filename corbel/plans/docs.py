@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.freshness import fingerprints, freshness
+from ..operators.migration import migrations
 from ..session import table
 from ..sources import markdown
 from ..sources.catalog import Workspace
@@ -37,6 +38,25 @@ def changelog_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.changelog_mentions(docs, Workspace(spark, sf_dir).symbols)
 
 
+def get_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol, and every prop of an export as `Component.prop`, with what became of it."""
+    ws = Workspace(spark, sf_dir)
+    rows = ws.exports.select("module_id", "epos", "system_id", "display_name", F.posexplode("props").alias("i", "p")).where("p.name is not null")
+    props = rows.select(F.concat_ws("/", F.lit("p"), "module_id", "epos", "i").alias("query_id"), "system_id", F.concat_ws(".", "display_name", "p.name").alias("name"))
+    symbols = ws.symbols.select(F.concat(F.lit("s/"), "symbol_id").alias("query_id"), "system_id", "name")
+    docs = table(spark, sf_dir, "documents").where("doc_kind = 'changelog' and system_id is not null and text is not null")
+    return migrations(ws, symbols.unionByName(props), docs)
+
+
+def pattern_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exports and tags that the first code block of each document uses."""
+    ws = Workspace(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").where("text is not null and system_id is not null")
+    read = markdown.patterns(docs).join(docs.select("doc_id", "system_id"), "doc_id")
+    names = ws.exports.select("system_id", F.explode(F.array("display_name", "tag_name")).alias("name"))
+    return markdown.pattern_components(read, names).select("doc_id", "components")
+
+
 def _facets(ws: Workspace, until: str | None) -> DataFrame:
     """Fingerprints of catalog, tokens and docs per system, of the rows of before a day or of all."""
     out = None
@@ -67,7 +87,7 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Workspace(spark, sf_dir).raw("custom_elements", "record_id").select("record_id", F.sha2("manifest", 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (markdown_sections, chunk_mentions, document_patterns, changelog_mentions, source_fingerprints, source_freshness, content_hashes)}
+QUERIES = {f.__name__: f for f in (markdown_sections, chunk_mentions, document_patterns, changelog_mentions, get_migration, pattern_components, source_fingerprints, source_freshness, content_hashes)}
 
 _NAMES = "flatten(list_transform(list_distinct(regexp_extract_all({0}, '[A-Za-z0-9_]+(?:-[A-Za-z0-9_]+)*')), lambda r: flatten(list_transform(range(1, len(string_split(r, '-')) + 1), lambda i: list_transform(range(i, len(string_split(r, '-')) + 1), lambda j: array_to_string(string_split(r, '-')[i:j], '-'))))))"
 _LINES = "unnest(string_split({0}, chr(10))) AS t, unnest(range(len(string_split({0}, chr(10))))) AS n"
@@ -112,3 +132,18 @@ SELECT system_id, name, CAST(rank AS INTEGER) AS rank, doc_id, CAST(n + 1 AS INT
 SELECT system_id, facet, CASE WHEN o.fingerprint IS NULL THEN 'none' WHEN n.fingerprint IS NULL THEN 'unknown' WHEN o.fingerprint = n.fingerprint THEN 'fresh' ELSE 'stale' END AS status FROM o FULL JOIN n USING (system_id, facet)""",
     "content_hashes": "SELECT DISTINCT ON (record_id) record_id, sha256(manifest) AS digest FROM custom_elements",
 }
+ORACLES["get_migration"] = f"""WITH {sql.EXPORTS}, {sql.SYMBOLS}, {sql.NAMES}, rq AS (SELECT 's/' || symbol_id AS query_id, system_id, name AS component, NULL AS prop FROM sy
+UNION ALL SELECT 'p/' || module_id || '/' || epos || '/' || i, system_id, display_name, p.name FROM (SELECT *, unnest(props) AS p, unnest(range(len(props))) AS i FROM ex) WHERE p.name IS NOT NULL),
+fd AS (SELECT q.*, xk.display_name AS found, xk.deprecated, coalesce(list_filter(xk.props, lambda p: p.name = q.prop)[1], list_filter(xk.props, lambda p: lower(p.name) = lower(q.prop))[1]).deprecated AS pd FROM ({sql.loosely('rq', 'component')}) q JOIN xk ON xk.x = q.x),
+tm AS (SELECT DISTINCT query_id, system_id, unnest([component, prop]) AS name FROM rq),
+{{changes}},
+hit AS (SELECT DISTINCT query_id, doc_id, n, t, heading FROM tm JOIN c USING (system_id, name)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id, n) AS rank FROM hit),
+ls AS (SELECT query_id, string_agg(coalesce(heading || ': ', '') || trim(t) || ' (' || (n + 1) || ')', chr(10) ORDER BY rank) AS lines FROM r WHERE rank <= 8 GROUP BY ALL)
+SELECT rq.query_id, CASE WHEN pd != '' OR deprecated IS NOT NULL THEN 'deprecated' WHEN lines IS NOT NULL THEN 'mentioned' WHEN found IS NULL THEN 'missing' ELSE 'none' END AS status, coalesce(found, rq.component) AS name, rq.prop,
+CASE WHEN coalesce(pd, '') = '' THEN deprecated.since END AS since, CASE WHEN coalesce(pd, '') = '' THEN deprecated.replacement END AS replacement, CASE WHEN coalesce(pd, '') = '' THEN deprecated.note ELSE pd END AS note, coalesce(lines, '') AS lines
+FROM rq LEFT JOIN fd USING (query_id) LEFT JOIN ls USING (query_id)""".replace("{changes}", ORACLES["changelog_mentions"].partition("l0 AS")[1] + ORACLES["changelog_mentions"].partition("l0 AS")[2].partition("\nr AS")[0].rstrip(","))
+ORACLES["pattern_components"] = f"""WITH {sql.EXPORTS}, d AS (SELECT doc_id, system_id, regexp_extract(replace(text, chr(13) || chr(10), chr(10)), '```([^\\n`]*)\\n([\\s\\S]*?)```', 2) AS code FROM documents WHERE text IS NOT NULL AND system_id IS NOT NULL),
+u AS (SELECT DISTINCT doc_id, system_id, unnest(regexp_extract_all(regexp_replace(code, '\\n$', ''), '</?([A-Za-z][A-Za-z0-9._-]*)[\\s/>]', 1)) AS name FROM d),
+nm2 AS (SELECT DISTINCT system_id, unnest([display_name, tag_name]) AS name FROM ex)
+SELECT doc_id, string_agg(name, ' ' ORDER BY name) AS components FROM u JOIN nm2 USING (system_id, name) GROUP BY doc_id"""

@@ -131,13 +131,20 @@ def patterns(docs: DataFrame) -> DataFrame:
     )
 
 
-def changelog_mentions(docs: DataFrame, names: DataFrame, limit: int = 8) -> DataFrame:
-    """system_id, name, rank, doc_id, line, heading, text: changelog lines that name a component.
+def pattern_components(patterns: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, system_id, components: the names of its system that the code of patterns(doc_id, system_id, code) has as a tag, sorted.
 
-    docs(doc_id, system_id, text). Only headings of level 2 and 3 count; their own
-    lines mention nothing; a line belongs to the last heading before it. The first
-    `limit` lines of each name are listed, by document and line.
+    A tag is a name after `<` or `</` that a blank, slash or bracket ends; names
+    are compared with their case. Patterns without any have no row.
     """
+    tags = F.array_distinct(F.regexp_extract_all("code", F.lit(r"</?([A-Za-z][A-Za-z0-9._-]*)(?=[\s/>])"), 1))
+    used = patterns.select("doc_id", "system_id", F.explode(tags).alias("name"))
+    met = used.join(names.where("name is not null").select("system_id", "name").distinct(), ["system_id", "name"])
+    return met.groupBy("doc_id", "system_id").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("components"))
+
+
+def changelog_lines(docs: DataFrame) -> DataFrame:
+    """id (doc_id, n, heading, raw), system_id, text of the lines of docs(doc_id, system_id, text) that are no heading of level 2 or 3."""
     from pyspark.sql import Window as W
 
     head = r"^#{2,3}\s+(.*?)\s*#*\s*$"
@@ -145,8 +152,19 @@ def changelog_mentions(docs: DataFrame, names: DataFrame, limit: int = 8) -> Dat
     is_head = F.col("raw").rlike(head)
     before = W.partitionBy("doc_id").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     lines = lines.withColumn("heading", F.last(F.when(is_head, F.regexp_extract("raw", head, 1)), ignorenulls=True).over(before)).where(~is_head)
-    rows = lines.select(F.struct("doc_id", "n", "heading", "raw").alias("id"), "system_id", F.col("raw").alias("text"))
-    found = mentions(rows, names)
+    return lines.select(F.struct("doc_id", "n", "heading", "raw").alias("id"), "system_id", F.col("raw").alias("text"))
+
+
+def changelog_mentions(docs: DataFrame, names: DataFrame, limit: int = 8) -> DataFrame:
+    """system_id, name, rank, doc_id, line, heading, text: changelog lines that name a component.
+
+    docs(doc_id, system_id, text). Only headings of level 2 and 3 count; their own
+    lines mention nothing; a line belongs to the last heading before it. The first
+    `limit` lines of each name are listed, by document and line.
+    """
+    from pyspark.sql import Window as W
+
+    found = mentions(changelog_lines(docs), names)
     rank = F.row_number().over(W.partitionBy("system_id", "name").orderBy("id.doc_id", "id.n"))
     top = found.withColumn("rank", rank).where(F.col("rank") <= limit)
     return top.select("system_id", "name", "rank", F.col("id.doc_id").alias("doc_id"), (F.col("id.n") + 1).alias("line"), F.coalesce("id.heading", F.lit("")).alias("heading"), F.trim("id.raw").alias("text"))
