@@ -10,7 +10,6 @@ word. Items beyond the bound are taken in blocks, one scan for each.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,28 +21,18 @@ from pyspark.sql import functions as F
 from ..session import stage
 
 WORD = re.compile(r"[^\W_]+")
-_MARKS: list[re.Pattern] = []
-
-
-def _marks() -> re.Pattern:
-    """All combining marks, as one character class."""
-    if not _MARKS:
-        spans, start = [], None
-        for c in range(0x300, min(sys.maxunicode, 0x1FFFF) + 1):
-            if unicodedata.category(chr(c)) in ("Mn", "Me", "Mc"):
-                start = c if start is None else start
-            elif start is not None:
-                spans.append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
-                start = None
-        _MARKS.append(re.compile(f"[{''.join(spans)}]+"))
-    return _MARKS[0]
+# The marks that Latin, Greek and Cyrillic letters are taken apart into; one range is searched fast.
+_ACCENTS = re.compile("[\u0300-\u036f]+")
 
 
 def plain(text: str) -> str:
     """Compatibility normalised, without accents, in one case."""
     if text.isascii():
         return text.lower()
-    return _marks().sub("", unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold()))
+    text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold())
+    text = _ACCENTS.sub("", text)
+    others = [c for c in set(text) if c > "\u036f" and unicodedata.category(c)[0] == "M"]
+    return text.translate(dict.fromkeys(map(ord, others))) if others else text
 
 
 def words(text: str) -> list[str]:
@@ -101,12 +90,12 @@ class Ngrams:
         if not len(places) or not len(self.hashes):
             return []
         h = self.rolled(ids)[places]
-        low, high = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, "right")
+        low = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         found = []
-        for k in np.flatnonzero(low < high):
-            p = int(places[k])
+        for k in np.flatnonzero(self.hashes[low] == h):
+            p, last = int(places[k]), np.searchsorted(self.hashes, h[k], "right")
             mine = ids[p : p + self.n]
-            same = [q for q in self.places[low[k] : high[k]] if np.array_equal(mine, self.flat[q : q + self.n])]
+            same = [q for q in self.places[low[k] : last] if np.array_equal(mine, self.flat[q : q + self.n])]
             if same:
                 found.append((p, set(self.items[np.searchsorted(self.ends, same, "right")].tolist())))
         return found
