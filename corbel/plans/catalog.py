@@ -10,6 +10,7 @@ from ..operators.merge import first_by, merge_aliases, merge_overlay
 from ..operators.search import top
 from ..session import table
 from ..sources.catalog import Workspace
+from ..sources.connect import connection_aliases, matched
 from ..sources.manifests import element_props, elements, manifest_tables
 from . import sql
 
@@ -132,9 +133,47 @@ def do_dont(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dep.unionByName(dep_prop).unionByName(write)
 
 
+def component_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that an export takes and gives: its own and inherited props, its events and its slots."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    named = lambda c: F.filter(c, lambda x: x["name"].isNotNull())
+    joined = lambda c, shown: text(F.array_join(F.transform(named(c), shown), "; "))
+    prop = lambda p: F.concat(p["name"], F.when(p["required"], "").otherwise("?"), F.lit(": "), text(p["type"]), F.coalesce(F.concat(F.lit(" = "), p["default_value"]), F.lit("")))
+    event = lambda e: F.concat(e["name"], F.lit(": "), text(e["type"]))
+    slot = lambda s: F.concat(s["name"], F.coalesce(F.concat(F.lit(" - "), s["description"]), F.lit("")))
+    return Workspace(spark, sf_dir).exports.select(
+        "module_id", "epos", "display_name", joined("props", prop).alias("props"), text(F.array_join("inherited_props", ", ")).alias("inherited"),
+        joined("events", event).alias("events"), joined("slots", slot).alias("slots"),
+    )
+
+
+def _connection_files(ws: Workspace) -> DataFrame:
+    """A connection file for every symbol and for every typed component name that can stand in code."""
+    typed = ws.aliases.where("kind = 'components'").select("system_id", F.concat(F.lit("a/"), "alias_id").alias("path"), F.col("alias").alias("name"), F.col("alias_id").alias("k"))
+    rows = ws.symbols.select("system_id", F.concat(F.lit("s/"), "symbol_id").alias("path"), "name", F.col("symbol_id").alias("k")).unionByName(typed)
+    rows = rows.where(F.col("name").rlike("^[A-Za-z][A-Za-z0-9]*$"))
+    code = F.format_string(
+        "figma.connect(%s, 'https://f.test/file?node-id=%d-7', {\n  props: { size: figma.enum('Size', { 'Big %d': 'lg', md: \"md\" }), on: figma.boolean('On') },\n  example: (props) => (<%s size={props.size} />),\n})",
+        "name", "k", "k", "name",
+    )
+    return rows.select("path", "system_id", code.alias("text"))
+
+
+def connections_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections of symbols and typed names, and what the catalog has of them."""
+    ws = Workspace(spark, sf_dir)
+    return matched(_connection_files(ws), ws.exports.select("system_id", F.col("display_name").alias("name")), ws.symbols)
+
+
+def connections_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Design values that real components write otherwise in code."""
+    ws = Workspace(spark, sf_dir)
+    return connection_aliases(_connection_files(ws), ws.symbols)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (export_summaries, prop_spellings, prop_literals, manifest_exports, manifest_props, undocumented, merged_aliases, merged_overlay, catalog_totals, index_lines, index_tables, do_dont)
+    for f in (export_summaries, prop_spellings, prop_literals, manifest_exports, manifest_props, undocumented, merged_aliases, merged_overlay, catalog_totals, index_lines, index_tables, do_dont, component_contracts, connections_matched, connections_aliases)
 }
 
 _LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'OBJECT' THEN [{0}] ELSE CAST([] AS JSON[]) END"
@@ -193,3 +232,12 @@ SELECT system_id, 1 AS line, 'use ' || display_name || coalesce(', use ' || depr
 UNION ALL SELECT system_id, 2, 'set ' || concat_ws('.', display_name, p.name) FROM p1 WHERE n = 1
 UNION ALL SELECT system_id, 4, 'write ' || string_agg(target || ' (not ' || alias || ')', ', ' ORDER BY n) FROM t WHERE n <= 3 GROUP BY system_id""",
 }
+_FILES = f"""fl AS (SELECT * FROM (SELECT 's/' || symbol_id AS path, system_id, name, symbol_id AS k FROM sy UNION ALL SELECT 'a/' || alias_id, system_id, alias, alias_id FROM al WHERE kind = 'components') WHERE regexp_matches(name, '^[A-Za-z][A-Za-z0-9]*$'))"""
+ORACLES["connections_matched"] = f"""WITH {sql.EXPORTS}, {sql.SYMBOLS}, {sql.ALIASES}, {_FILES}
+SELECT path, CAST(0 AS INTEGER) AS pos, system_id, name AS component, CASE WHEN NOT EXISTS (SELECT 1 FROM sy WHERE sy.system_id = fl.system_id AND sy.name = fl.name) THEN 'unmatched'
+WHEN EXISTS (SELECT 1 FROM ex WHERE ex.system_id = fl.system_id AND ex.display_name = fl.name) THEN 'mapped' ELSE 'created' END AS status, k || ':7' AS node_id, '<' || name || ' size={{{{size}}}} />' AS example FROM fl"""
+ORACLES["connections_aliases"] = f"""WITH {sql.SYMBOLS}, {sql.ALIASES}, {_FILES}
+SELECT DISTINCT system_id, 'Big ' || k AS alias, 'lg' AS target, name || '.size' AS concept FROM fl WHERE EXISTS (SELECT 1 FROM sy WHERE sy.system_id = fl.system_id AND sy.name = fl.name)"""
+_SHOWN = "coalesce(array_to_string(list_transform(list_filter({0}, lambda x: x.name IS NOT NULL), lambda x: {1}), '; '), '')"
+ORACLES["component_contracts"] = f"""WITH {sql.EXPORTS} SELECT module_id, epos, display_name, {_SHOWN.format('props', "x.name || CASE WHEN x.required THEN '' ELSE '?' END || ': ' || coalesce(x.type, '') || coalesce(' = ' || x.default_value, '')")} AS props,
+coalesce(array_to_string(inherited_props, ', '), '') AS inherited, {_SHOWN.format('events', "x.name || ': ' || coalesce(x.type, '')")} AS events, {_SHOWN.format('slots', "x.name || coalesce(' - ' || x.description, '')")} AS slots FROM ex"""
