@@ -10,6 +10,8 @@ applied to the payload.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,8 +62,53 @@ def _no_constant(text: str):
     raise ValueError(f"{text} is not JSON")
 
 
-def _number(text: str):
-    return int(text) if len(text) < 4000 else float(text)
+def _whole(text: str):
+    """A whole number; one too long for Python stays as it is written."""
+    return int(text) if len(text) < 4000 else text
+
+
+def _real(text: str):
+    """A number; one too large for a double stays as it is written."""
+    number = float(text)
+    return number if math.isfinite(number) else text
+
+
+def _parsed(text: str):
+    return json.loads(text, parse_constant=_no_constant, parse_int=_whole, parse_float=_real)
+
+
+# As deep as records are read; what lies deeper is kept as its text.
+DEEPEST = 200
+_MARK = re.compile(r'"(?:[^"\\]|\\.)*+"|[\[\]{}]', re.S)
+
+
+def _shallow(text: str) -> str:
+    """The record with every value that is nested deeper than DEEPEST as its text.
+
+    Each layer of DEEPEST levels is checked by itself, from the innermost one, so
+    that no depth is too much and what is no JSON is a ValueError as ever.
+    """
+    layers: list[tuple[int, list[str]]] = [(0, [])]  # where each begins, and its text so far
+    level = at = 0
+    for m in _MARK.finditer(text):
+        if m[0] in "[{":
+            if level and level % DEEPEST == 0:
+                layers[-1][1].append(text[at : m.start()])
+                at = m.start()
+                layers.append((at, []))
+            level += 1
+        elif m[0] in "]}":
+            level -= 1
+            if level < 0:
+                raise ValueError("a bracket too many")
+            if level and level % DEEPEST == 0:
+                start, parts = layers.pop()
+                json.loads("".join(parts) + text[at : m.end()], parse_constant=_no_constant, parse_int=_whole)
+                at = m.end()
+                layers[-1][1].append(json.dumps(text[start:at]) if len(layers) == 1 else "null")
+    if len(layers) > 1:
+        raise ValueError("a bracket is open")
+    return "".join(layers[0][1]) + text[at:]
 
 
 def _clean(text: str) -> str:
@@ -110,10 +157,13 @@ def _visitor(levels: tuple[Level, ...]):
                     continue
                 before = len(rows[0])
                 try:
-                    record = json.loads(text, parse_constant=_no_constant, parse_int=_number)
+                    try:
+                        record = text if isinstance(text, dict) else _parsed(text)
+                    except RecursionError:
+                        record = _parsed(_shallow(text))
                     if isinstance(record, dict):
                         _visit(record, root, (), levels, emit)
-                except (ValueError, RecursionError):
+                except ValueError:
                     for to in rows:
                         del to[before:]
                     emit(root, None, (), None, None, INVALID)
@@ -156,10 +206,11 @@ def _as(text: Column, field: T.StructField) -> Column:
 
 
 def flatten_records(df: DataFrame, record_id: str, record: Column, levels: tuple[Level, ...]) -> FlatTables:
-    """Flatten the JSON text `record` of each row of df along `levels`.
+    """Flatten `record` of each row of df, a JSON text or a struct, along `levels`.
 
     Nulls: a null record gives no row; a null record id is kept as null. Invalid
-    JSON gives one row of the tag `_invalid` and no other; an object where an
+    JSON gives one row of the tag `_invalid` and no other; records of any depth are
+    read, numbers beyond a double or 4,000 digits keep their text; an object where an
     array is expected counts as an array of one; elements that are no objects
     give no row but keep their place; an empty input gives empty tables. Other
     columns of df are ignored, whatever their names.

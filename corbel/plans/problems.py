@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.hierarchy import looped_ancestors, paths_to_root, resolve_links
-from ..operators.nested import FlatTables, Level, flatten_records
+from ..operators.nested import INVALID, FlatTables, Level, flatten_records
 from ..operators.orphans import orphan_references, orphans_by_period
 from ..operators.references import ref_key, ref_kind, token_links, token_nodes
 from ..session import once, stage, table, trimmed
@@ -17,7 +17,7 @@ MODULE = (Level("exports", "export", (Level("props", "prop"), Level("events", "e
 
 def module_tables(spark: SparkSession, sf_dir: str) -> FlatTables:
     df = once(table(spark, sf_dir, "catalog_modules").select("module_id", "exports"), "module_id")
-    return flatten_records(df, "module_id", F.to_json(F.struct("exports")), MODULE)
+    return flatten_records(df, "module_id", F.struct("exports"), MODULE)
 
 
 def _children(src: str, rows: DataFrame, module_pos, parent_pos, child_pos) -> DataFrame:
@@ -48,6 +48,11 @@ def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("record_id", "key", "parent_key", "class_name", "tag_name", F.col("name").alias("member_name"), "kind", "privacy", "static")
 
 
+def p1_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifests that are no valid JSON."""
+    return manifest_tables(spark, sf_dir).rows(INVALID).select("record_id")
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens under ids that are written once, so that a lost task can't renumber them."""
     rows = once(token_nodes(table(spark, sf_dir, "tokens")), "system_id", "name")
@@ -142,7 +147,7 @@ def p6_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans_by_period(orphan_references(references(spark, sf_dir), known_names(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_members, p2_found, p2_paths, p2_descendants, p2_derived, p6_found, p6_by_period)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_members, p1_rejected, p2_found, p2_paths, p2_descendants, p2_derived, p6_found, p6_by_period)}
 
 _JSON_LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'OBJECT' THEN [{0}] ELSE CAST([] AS JSON[]) END"
 _SPACE = "[\\s\\x1c-\\x1f\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -158,6 +163,12 @@ def _each(source: str, field: str, keep: str, pos: str) -> str:
     return f"SELECT {keep}, unnest(l) AS j, unnest(range(len(l))) AS {pos} FROM (SELECT {keep}, {listed} AS l FROM {source})"
 
 
+def _text(source: str, field: str) -> str:
+    """A field as get_json_object reads it: a string as it is, null as nothing, all else as JSON."""
+    at = f"json_extract({source}, '$.{field}')"
+    return f"CASE json_type({at}) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN json_extract_string({source}, '$.{field}') ELSE CAST({at} AS VARCHAR) END"
+
+
 _TOKENS = f"""t AS (SELECT DISTINCT ON (token_id) token_id, system_id, {_trim('name')} AS name, {_trim('css_var')} AS css_var, refs, added_at FROM tokens),
 parsed AS (SELECT token_id, system_id, name, added_at, r, {_trim('r')} AS x FROM (SELECT *, unnest(refs) AS r FROM t) WHERE r IS NOT NULL)"""
 _INNER = f"CASE WHEN regexp_full_match(x, '(?s)var\\(.*\\)') THEN {_trim('x[5:-2]')} WHEN regexp_full_match(x, '(?s)\\{{.*\\}}') THEN {_trim('x[2:-2]')} ELSE x END"
@@ -189,6 +200,11 @@ c2 AS (SELECT module_id, parent_pos, 'prop' AS child_kind, unnest(range(len(e.pr
 UNION ALL SELECT module_id, parent_pos, 'event', unnest(range(len(e.events))), unnest(list_transform(e.events, lambda x: x.name)) FROM c1)
 SELECT 'custom_elements' AS src_table, record_id, CAST(module_pos AS INTEGER) AS module_pos, CAST(parent_pos AS INTEGER) AS parent_pos, child_kind, CAST(child_pos AS INTEGER) AS child_pos, json_extract_string(j, '$.name') AS child_name FROM m3 WHERE json_type(json_extract(j, '$.name')) = 'VARCHAR'
 UNION ALL SELECT 'catalog_modules', module_id, 0, CAST(parent_pos AS INTEGER), child_kind, CAST(child_pos AS INTEGER), child_name FROM c2 WHERE child_name IS NOT NULL""",
+    "p1_members": f"""WITH m0 AS (SELECT DISTINCT ON (record_id) record_id, manifest::JSON AS j FROM custom_elements WHERE json_valid(manifest)),
+m1 AS ({_each('m0', 'modules', 'record_id', 'a')}), m2 AS (SELECT record_id, a, b, j, j AS d FROM ({_each('m1', 'declarations', 'record_id, a', 'b')}) WHERE json_type(j) = 'OBJECT'), m3 AS ({_each('m2', 'members', 'record_id, a, b, d', 'c')})
+SELECT record_id, record_id || '/module.' || a || '/declaration.' || b || '/member.' || c AS key, record_id || '/module.' || a || '/declaration.' || b AS parent_key,
+{_text('d', 'name')} AS class_name, {_text('d', 'tagName')} AS tag_name, {_text('j', 'name')} AS member_name, {_text('j', 'kind')} AS kind, {_text('j', 'privacy')} AS privacy, TRY_CAST({_text('j', 'static')} AS BOOLEAN) AS static FROM m3 WHERE json_type(j) = 'OBJECT'""",
+    "p1_rejected": "SELECT DISTINCT record_id FROM custom_elements WHERE manifest IS NOT NULL AND NOT json_valid(manifest)",
     "p2_found": f"""{_P2} SELECT system_id, name, CASE WHEN depth = 400 THEN '(cycle)' ELSE root END AS root_name, CAST(CASE WHEN depth = 400 THEN -1 ELSE depth END AS INTEGER) AS depth FROM ends""",
     "p2_descendants": f"""{_P2} SELECT w.system_id, w.cur AS name, w.name AS derived_name, CAST(w.depth AS INTEGER) AS distance FROM walk w JOIN ends e ON e.system_id = w.system_id AND e.name = w.name WHERE e.depth < 400 AND w.depth > 0""",
     "p2_derived": f"""{_P2.partition("walk AS")[0]}

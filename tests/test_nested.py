@@ -43,9 +43,20 @@ def test_parent_links_and_typed_table(spark):
 def test_lone_surrogates_deep_nesting_and_long_numbers(spark):
     deep = '{"modules": ' + "[" * 100_000 + "]" * 100_000 + "}"
     odd = '{"modules": [{"declarations": [{"attributes": [{"name": "a\\ud800"}, {"name": "b", "n": ' + "9" * 5000 + "}]}]}]}"
-    tables = flat(spark, deep, odd)
-    assert [r[3] for r in names(tables)] == ["a�", "b"]
-    assert rows(tables.rows("_invalid").select("record_id")) == [(0,)]
+    kept = '{"modules": [{"declarations": [{"attributes": [{"name": "c", "default": ' + '{"a": ["]\\\\", ' * 20_000 + "1" + "]}" * 20_000 + "}]}]}]}"
+    broken = deep[:-9] + "]" * 5 + "}"
+    tables = flat(spark, deep, odd, kept, broken, kept.replace("1]", "1,]"))
+    assert [r[3] for r in names(tables)] == ["a�", "b", "c"]
+    assert sorted(rows(tables.rows("_invalid").select("record_id"))) == [(3,), (4,)]
+    payload = {r[0]: json.loads(r[1]) for r in rows(tables.rows("attribute").where("name != 'a�'").select("name", "payload"))}
+    assert payload["b"]["n"] == "9" * 5000 and len(json.dumps(payload["c"])) > 300_000
+
+
+def test_records_as_structs(spark):
+    df = spark.createDataFrame([(1, ([("x", None), None, ("y", 1)],)), (2, (None,)), (3, None)], "id long, r struct<attributes:array<struct<name:string,n:int>>>")
+    tables = flatten_records(df, "id", F.col("r"), (Level("attributes", "attribute"),))
+    assert names(tables) == [(1, (0,), "attribute", "x"), (1, (2,), "attribute", "y")]
+    assert rows(tables.table("attribute", "name string, n int").select("n").orderBy("key")) == [(None,), (1,)]
 
 
 def test_empty_input_and_null_ids(spark):
