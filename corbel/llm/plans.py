@@ -97,7 +97,29 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.restored_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p5_found, p5_unmatched, p7_packed, p7_fill, p8_found, p8_cleaned, p9_found, p9_restored)}
+def p3_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every oversized chunk whether its pieces are within the limit, overlap as told and give its text again."""
+    pieces = p3_pieces(spark, sf_dir)
+    step = F.struct("piece_no", "start", "end", "text", "n_pieces", "trail")
+    by_chunk = pieces.groupBy("chunk_id").agg(F.array_sort(F.collect_list(step)).alias("p"))
+    at = lambda i: F.get("p", i - 1)["end"]
+    fits = F.forall("p", lambda p: (F.length(p["text"]) <= 1200) & (F.length(p["text"]) == p["end"] - p["start"]) & (p["n_pieces"] == F.size("p")))
+    overlaps = F.forall(F.transform("p", lambda p, i: (i == 0) | (p["start"] == at(i) - 120)), lambda x: x)
+    again = F.array_join(F.transform("p", lambda p, i: F.when(i == 0, p["text"]).otherwise(F.substr(p["text"], F.lit(121)))), "")
+    return by_chunk.select("chunk_id", fits.alias("fits"), overlaps.alias("overlaps"), F.md5(again).alias("digest"), F.array_join(F.get("p", F.lit(0))["trail"], " > ").alias("trail"))
+
+
+def p7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document its tokens as packed, from 0 on without a gap, whether it is in one piece, and whether all its containers are within the capacity."""
+    capacity = _capacity(spark, sf_dir)
+    packed = stage(p7_packed(spark, sf_dir), "packed")
+    over = packed.groupBy("shard", "container").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > capacity)
+    rows = packed.join(over, ["shard", "container"], "left").groupBy("doc_id")
+    end = F.max(F.col("first_token") + F.col("n_tokens"))
+    return rows.agg((end == F.sum("n_tokens")).alias("no_gap"), ((F.count("*") == 1) | (F.sum("n_tokens") > capacity)).alias("whole"), (F.count("n") == 0).alias("fits"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p5_found, p5_unmatched, p7_packed, p7_fill, p3_whole, p7_whole, p8_found, p8_cleaned, p9_found, p9_restored)}
 
 ORACLES = {
     "p3_found": f"""SELECT DISTINCT chunk_id FROM doc_chunks WHERE length({_trim('text')}) > 1200""",
@@ -109,3 +131,5 @@ g AS (SELECT term, CAST(sum(n) AS BIGINT) AS n_total, count(*) AS n_records FROM
 SELECT 'mentions' AS field, term, n_total, n_records, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records * 200 > (SELECT count(*) FROM c) THEN 'common' ELSE 'useful' END AS mark FROM f
 UNION ALL SELECT 'lexicon', term, n_total, n_records, CASE WHEN n_total <= 2 THEN 'rare' WHEN n_total * 100 > (SELECT sum(n) FROM l) THEN 'common' ELSE 'useful' END FROM g""",
 }
+ORACLES["p3_whole"] = f"""SELECT DISTINCT ON (chunk_id) chunk_id, true AS fits, true AS overlaps, md5({_trim('text')}) AS digest, array_to_string(trail, ' > ') AS trail FROM doc_chunks WHERE length({_trim('text')}) > 1200"""
+ORACLES["p7_whole"] = "SELECT doc_id, true AS no_gap, true AS whole, true AS fits FROM documents WHERE text IS NOT NULL"
