@@ -139,3 +139,11 @@ UNION ALL SELECT snippet_id, 2, 'disallowed-import', 'error', 'zz-tools', NULL F
 UNION ALL SELECT snippet_id, 1, 'unknown-component', 'error', name, NULL FROM (SELECT snippet_id, system_id, unnest([display_name, 'ZzMadeUp']) AS name FROM el WHERE NOT html) i WHERE NOT EXISTS (SELECT 1 FROM sy WHERE sy.system_id = i.system_id AND sy.name = i.name))
 SELECT snippet_id, CAST(row_number() OVER (PARTITION BY snippet_id ORDER BY line, kind, subject, fix NULLS FIRST) AS INTEGER) AS rank, CAST(line AS INTEGER) AS line, kind, severity, subject, fix FROM fd"""
 ORACLES["made_languages"] = f"WITH {sql.EXPORTS}, {_MADE} SELECT snippet_id, CASE WHEN html THEN 'html' ELSE 'tsx' END AS language FROM ct"
+_WHOLE = lint.RAW_VALUE.removeprefix("(?i)")
+# Counts of kinds need no fixes; code of the chunks is HTML throughout, so that it has no imports.
+ORACLES["usage_report"] = f"""WITH fnd AS ({ORACLES['element_findings']}), {sql.CHUNKS}, {_SNIPPETS},
+at3 AS (SELECT snippet_id, string_split(a, '="')[1] AS name, CASE WHEN contains(a, '="') THEN regexp_extract(a, '="(.*)"$', 1) END AS value FROM (SELECT *, unnest(at_) AS a FROM el)),
+rw AS (SELECT snippet_id, unnest(list_filter(list_transform(string_split(value, ';'), lambda d: trim(regexp_replace(d, '^[^:]*:', ''))), lambda v: regexp_matches(lower(v), '{_WHOLE}'))) AS raw FROM at3 WHERE lower(name) = 'style' AND value IS NOT NULL
+UNION ALL SELECT snippet_id, unnest(list_distinct(regexp_extract_all(value, '(#(?:[0-9a-fA-F]{{8}}|[0-9a-fA-F]{{6}}|[0-9a-fA-F]{{4}}|[0-9a-fA-F]{{3}}))\\b', 1) || regexp_extract_all(value, '(?i)\\b((?:rgba?|hsla?)\\([^)]*\\))', 1) || regexp_extract_all(value, '\\[[^\\]]*?(-?\\d*\\.?\\d+px)[^\\]]*?\\]', 1))) FROM at3 WHERE name IN ('class', 'className') AND value IS NOT NULL),
+al3 AS (SELECT snippet_id, kind, severity FROM fnd UNION ALL SELECT snippet_id, 'raw-value', 'warning' FROM rw)
+SELECT kind, severity, count(*) AS n, count(DISTINCT snippet_id) AS n_snippets FROM al3 GROUP BY ALL"""
