@@ -133,3 +133,6 @@ UNION ALL SELECT 'lexicon', term, n_total, n_records, CASE WHEN n_total <= 2 THE
 }
 ORACLES["p3_whole"] = f"""SELECT DISTINCT ON (chunk_id) chunk_id, true AS fits, true AS overlaps, md5({_trim('text')}) AS digest, array_to_string(trail, ' > ') AS trail FROM doc_chunks WHERE length({_trim('text')}) > 1200"""
 ORACLES["p7_whole"] = "SELECT doc_id, true AS no_gap, true AS whole, true AS fits FROM documents WHERE text IS NOT NULL"
+_WORDS = "regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')"
+_GRAMS = "SELECT DISTINCT {0}, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS k FROM (SELECT {0}, " + _WORDS + " AS w FROM {1}) WHERE len(w) >= 20"
+ORACLES["p8_found"] = f"WITH d AS ({_GRAMS.replace('{L}', '{{L}}').replace('{N}', '{{N}}').format('doc_id', 'documents')}), i AS ({_GRAMS.replace('{L}', '{{L}}').replace('{N}', '{{N}}').format('item_id', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (k)"
