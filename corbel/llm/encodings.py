@@ -187,7 +187,8 @@ def garbled_sequences() -> dict[str, tuple[str, str, bool]]:
             for more in range(0x80, 0xC0):
                 seq = _read(bytes([raw, more]), enc, None)
                 if raw < 0xE0:
-                    add(seq, _encoded(seq, enc), enc, False)
+                    if was := _encoded(seq, enc):
+                        add(seq, was, enc, False)
                 elif seq not in found:
                     found[seq] = (_BEGINS, enc, False)
     for b in range(0x80, 0xA0):
@@ -201,19 +202,26 @@ def garbled_sequences() -> dict[str, tuple[str, str, bool]]:
 
 @lru_cache(1)
 def _first_sight() -> re.Pattern:
-    """Three characters, two or one with which every garbled sequence begins; few correct texts have them."""
-    leads, seconds, single, opening, inner = set(), set(), set(), set(), set()
+    """One to four characters with which every garbled sequence that counts begins; few correct texts have them.
+
+    Of an unusual character's two bytes only another such pair right after it can make one count.
+    """
+    leads, seconds, single, opening, inner, weak, after = set(), set(), set(), set(), set(), set(), set()
     for seq, (was, enc, _) in garbled_sequences().items():
         if was == _BEGINS:
             opening.add(seq[0])
             inner.add(seq[1])
+        elif len(seq) == 2 and enc in ANY_CHARACTER and was and was not in _usual():
+            weak.add(seq[0])
+            after.add(seq[1])
         elif len(seq) > 1 and enc not in EAST:
             leads.add(seq[0])
             seconds.add(seq[1])
         else:
             single.add(seq[0])
     group = lambda x: "[" + "".join(map(re.escape, sorted(x))) + "]"
-    return re.compile(f"{group(leads)}{group(seconds)}|{group(opening)}{group(inner)}{{2}}|{group(single)}")
+    pair = group(weak) + group(after)
+    return re.compile(f"{group(leads)}{group(seconds)}|{group(opening)}{group(inner)}{{2}}|{pair}{pair}|{group(single)}")
 
 
 @lru_cache(1)
@@ -267,18 +275,18 @@ def _lines(chars: str) -> bool:
 
 
 def _drawn(text: str, a: int, b: int) -> bool:
-    """The span consists of lines of a drawing, and no letter stands beside it."""
-    return _lines(text[a:b]) and not (text[a - 1 : a].isalpha() or text[b : b + 1].isalpha())
+    """The span consists of lines of a drawing, and another one stands beside it."""
+    return _lines(text[a:b]) and (a > 0 and _lines(text[a - 1]) or b < len(text) and _lines(text[b]))
 
 
 def garbled_spans(text: str) -> list[tuple[int, int, str, bool]]:
     """start, end, original ('' where it is lost) and restorable of each garbled span.
 
     A sequence that could be correct by itself counts only beside another of its
-    encoding, or in a text that has sure ones of it; lines of a drawing only beside
-    a letter; one of a character beyond the
-    usual ones only beside another, where not all are letters and usual signs. What is shown as an example,
-    alone between code marks or quotes, does not count.
+    encoding, or in a text that has sure ones of it; lines of a drawing not beside
+    other lines; one of a character beyond the usual ones only beside another, where
+    not all are letters and usual signs. What is shown as an example, alone between
+    code marks or quotes, does not count.
     """
     if not _first_sight().search(text):
         return []
@@ -352,7 +360,7 @@ def restore(text: str) -> tuple[str, int, bool]:
 
 # Ids with their few words; more than that meet the texts in a shuffled join.
 BROADCAST_IDS = 100_000
-BROADCAST_COPIES = 1_000_000
+BROADCAST_ROWS = 500_000
 _EDGE = re.compile(r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 
 
@@ -501,14 +509,13 @@ def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _first_of_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text, content (a hash of the text), and whether the document is the first with that text.
 
-    Of copied texts one row of two numbers each is broadcast, up to BROADCAST_COPIES
+    Of copied texts one row of two numbers each is broadcast, up to BROADCAST_ROWS
     of them, so that no text is shuffled.
     """
     hashed = docs.withColumn("content", F.xxhash64("text"))
     first = hashed.groupBy("content").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").select("content", "_first")
     copies = stage(first, "copies")
-    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
-    return hashed.join(copies, "content", "left").select("doc_id", "text", "content", F.coalesce(F.col("doc_id") == F.col("_first"), F.lit(True)).alias("first"))
+    return hashed.join(_small(copies), "content", "left").select("doc_id", "text", "content", F.coalesce(F.col("doc_id") == F.col("_first"), F.lit(True)).alias("first"))
 
 
 def _together(maybe: DataFrame, judged: DataFrame, times: int, at_least: int) -> DataFrame:
@@ -522,14 +529,26 @@ def _together(maybe: DataFrame, judged: DataFrame, times: int, at_least: int) ->
     key = ["word", "sizes", "pair"]
     odds = judged.where(F.col("right_texts") >= at_least).groupBy(*key, "n_texts").agg(F.max_by(F.struct("was", "n_right", "right_texts"), F.struct("right_texts", "was")).alias("r"))
     odds = stage(odds.select(*key, "n_texts", "r.*").withColumn("odds", F.log(F.col("right_texts") / F.greatest("n_texts", F.lit(1)))), "odds")
-    held = stage(maybe.select("content", "word", "sizes").distinct().join(odds.select(*key, "odds"), ["word", "sizes"]), "held")
-    text = held.groupBy("content", "pair").agg(F.countDistinct("word").alias("k"), F.sum("odds").alias("odds"))
-    suspected = text.where((F.col("k") > 1) & (F.col("odds") >= F.log(F.lit(float(times))) - 1e-9)).select("content", "pair")
+    words = maybe.select("content", "word", "sizes")
+    enough = F.log(F.lit(float(times))) - 1e-9
+    # Only texts whose likelier readings are enough by themselves can be suspected; the others need not be weighed.
+    likelier = _small(odds.where("odds > 0").select(*key, "odds"))
+    able = words.join(likelier, ["word", "sizes"]).distinct().groupBy("content", "pair").agg(F.sum("odds").alias("odds")).where(F.col("odds") >= enough).select("content", "pair")
+    able = _small(stage(able, "able"))
+    held = words.join(able, "content").distinct().join(odds.select(*key, "odds"), key)
+    held = stage(held.select("content", *key, "odds"), "held")
+    text = held.groupBy("content", "pair").agg(F.count_distinct("word").alias("k"), F.sum("odds").alias("odds"))
+    suspected = text.where((F.col("k") > 1) & (F.col("odds") >= enough)).select("content", "pair")
     inside = held.join(suspected, ["content", "pair"]).groupBy(*key).agg(F.count("*").alias("inside"))
     other = times * (F.col("n_texts") - F.col("inside"))
     return odds.join(inside, key).where((F.col("right_texts") > F.col("n_texts")) & (other <= F.greatest("right_texts", "inside")))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """To be broadcast, if a count of its rows of a word or two numbers allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def find_garbled(docs: DataFrame, times: int = 10, at_least: int = 3) -> tuple[DataFrame, DataFrame]:
     """The affected documents (doc_id, n_spans), and the garbled words (doc_id, word, was).
 
@@ -551,7 +570,7 @@ def find_garbled(docs: DataFrame, times: int = 10, at_least: int = 3) -> tuple[D
     alone = judged.where((F.col("n_right") >= times * F.col("n")) | by_texts)
     proven = alone.select("word", "sizes", "was", "n_right").unionByName(_together(maybe, judged, times, at_least).select("word", "sizes", "was", "n_right"))
     best = proven.groupBy("word", "sizes").agg(F.max_by("was", F.struct("n_right", "was")).alias("was"))
-    return spans, maybe.join(best, ["word", "sizes"]).select("doc_id", "word", "was").distinct()
+    return spans, maybe.join(_small(stage(best, "proven")), ["word", "sizes"]).select("doc_id", "word", "was").distinct()
 
 
 def garbled_documents(docs: DataFrame) -> DataFrame:
