@@ -23,8 +23,8 @@ from ..session import once
 
 _PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*")
 _LINE = re.compile(r"\r\n|\r|\n")
-# Runs are taken whole, so that a long one is looked at once.
-_SENTENCE = re.compile(r"(?<![.!?…])[.!?…]++[\"'”’»)\]*_`]*+\s+")
+# A sentence's signs are taken with or without white space after them, so that a long run of them is looked at once.
+_SENTENCE = re.compile(r"[.!?…]++[\"'”’»)\]*_`]*+(\s+)?")
 _CLAUSE = re.compile(r"[,;:–—]\s+")
 _SPACE = re.compile(r"\s+")
 _FENCE = re.compile(r"^ {0,3}(?:```|~~~)", re.M)
@@ -40,7 +40,8 @@ def boundaries(text: str) -> dict[int, int]:
     kinds: dict[int, int] = {}
     for pattern, kind in ((_SPACE, WORD), (_CLAUSE, CLAUSE), (_SENTENCE, SENTENCE), (_LINE, SENTENCE), (_PARAGRAPH, PARAGRAPH)):
         for m in pattern.finditer(text):
-            kinds[m.end()] = kind
+            if pattern is not _SENTENCE or m[1]:
+                kinds[m.end()] = kind
     i = 0
     for place in sorted(kinds):
         while i < len(code) and code[i][1] < place:
