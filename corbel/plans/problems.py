@@ -17,7 +17,8 @@ MODULE = (Level("exports", "export", (Level("props", "prop"), Level("events", "e
 
 def module_tables(spark: SparkSession, sf_dir: str) -> FlatTables:
     df = once(table(spark, sf_dir, "catalog_modules").select("module_id", "exports"), "module_id")
-    return flatten_records(df, "module_id", F.struct("exports"), MODULE)
+    # As text: Spark writes it faster than Arrow's nested structs turn into Python's objects.
+    return flatten_records(df, "module_id", F.to_json(F.struct("exports")), MODULE)
 
 
 def _children(src: str, rows: DataFrame, module_pos, parent_pos, child_pos) -> DataFrame:
