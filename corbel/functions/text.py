@@ -86,6 +86,13 @@ def universal_attribute(c: Column, custom_elements: Column) -> Column:
     return c.isin(UNIVERSAL_ATTRIBUTES) | ((c == "class") & custom_elements) | c.rlike("^(data-|aria-|on[A-Z]|on-|@)")
 
 
+def describe_match(reason: Column) -> Column:
+    """What the first reason of a hit says of it."""
+    rest = lambda kind: F.concat(F.lit(f"{kind} "), F.substr(reason, F.lit(len(kind) + 2)))
+    named = F.when(F.coalesce(reason, F.lit("")) == "", "match").when(reason == "name", "name match").when(reason.startswith("alias:"), rest("alias"))
+    return named.when(reason.startswith("concept:"), "concept").when(reason.startswith("prop:"), rest("prop")).otherwise(reason)
+
+
 def natural_key(c: Column) -> Column:
     """Sort key under which space-2 comes before space-10, whatever the case."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"(\d+)", "0000000000$1"), r"0*(\d{10})(?!\d)", "$1")

@@ -10,6 +10,7 @@ from ..operators.merge import first_by, merge_aliases, merge_overlay
 from ..operators.search import top
 from ..session import table
 from ..sources.catalog import Workspace
+from ..sources.catalog_json import all_exports, catalog_tables, json_exports, json_props, overlay_problems, overlay_stubs
 from ..sources.connect import connection_aliases, matched
 from ..sources.manifests import element_props, elements, manifest_tables
 from . import sql
@@ -171,9 +172,55 @@ def connections_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connection_aliases(_connection_files(ws), ws.symbols)
 
 
+def _catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every catalog module written as a catalog in JSON."""
+    modules = Workspace(spark, sf_dir).raw("catalog_modules", "module_id")
+    prop = lambda p: F.when(p.isNotNull(), F.struct(p["name"].alias("name"), p["type"].alias("type"), p["required"].alias("required"), p["default_value"].alias("defaultValue"), p["deprecated"].alias("deprecated")))
+    export = lambda e: F.when(e.isNotNull(), F.struct(e["display_name"].alias("displayName"), e["tag_name"].alias("tagName"), e["description"].alias("description"), F.transform(e["props"], prop).alias("props")))
+    component = F.struct("dir", F.transform("exports", export).alias("exports"))
+    return modules.select(F.col("module_id").alias("record_id"), F.to_json(F.struct(F.array(component).alias("components"))).alias("text"))
+
+
+def json_catalog_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modules' exports, written as JSON and read back with their defaults."""
+    return json_exports(catalog_tables(_catalog_files(spark, sf_dir))).select("record_id", "key", "dir", "display_name", "tag_name", "description")
+
+
+def json_catalog_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_props(catalog_tables(_catalog_files(spark, sf_dir))).select("record_id", "export_key", "pos", "name", "type", "required", "default_value", "deprecated")
+
+
+def json_all_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that each catalog file exports."""
+    files = _catalog_files(spark, sf_dir)
+    return all_exports(files, catalog_tables(files))
+
+
+def overlay_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with modules, and with manifests, in the role of overlays."""
+    ws = Workspace(spark, sf_dir)
+    modules = ws.raw("catalog_modules", "module_id").select(F.concat(F.lit("m/"), "module_id").alias("path"), F.to_json(F.struct(F.transform("exports", lambda e: F.struct(e["display_name"].alias("displayName"))).alias("exports"))).alias("text"))
+    return overlay_problems(modules.unionByName(ws.raw("custom_elements", "record_id").select(F.concat(F.lit("e/"), "record_id").alias("path"), F.col("manifest").alias("text"))))
+
+
+def overlay_scaffold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries to be filled in for undocumented symbols of which no manifest declares a class."""
+    systems = table(spark, sf_dir, "custom_elements").select("record_id", "system_id").distinct()
+    declared = elements(manifest_tables(spark, sf_dir)).join(systems, "record_id").select("system_id", F.col("class_name").alias("name"))
+    return overlay_stubs(undocumented(spark, sf_dir), declared)
+
+
+def catalog_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols and distinct prop names of each system."""
+    ws = Workspace(spark, sf_dir)
+    props = ws.exports.select("system_id", F.explode("props").alias("p")).select("system_id", F.col("p.name").alias("name"), F.lit(False).alias("symbol"))
+    rows = ws.symbols.select("system_id", "name", F.lit(True).alias("symbol")).unionByName(props).where("name is not null").distinct()
+    return rows.groupBy("system_id").agg(F.count_if("symbol").alias("n_symbols"), F.count_if(~F.col("symbol")).alias("n_prop_names"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (export_summaries, prop_spellings, prop_literals, manifest_exports, manifest_props, undocumented, merged_aliases, merged_overlay, catalog_totals, index_lines, index_tables, do_dont, component_contracts, connections_matched, connections_aliases)
+    for f in (export_summaries, prop_spellings, prop_literals, manifest_exports, manifest_props, undocumented, merged_aliases, merged_overlay, catalog_totals, index_lines, index_tables, do_dont, component_contracts, connections_matched, connections_aliases, json_catalog_exports, json_catalog_props, json_all_exports, overlay_checks, overlay_scaffold, catalog_sizes)
 }
 
 _LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'OBJECT' THEN [{0}] ELSE CAST([] AS JSON[]) END"
@@ -241,3 +288,16 @@ SELECT DISTINCT system_id, 'Big ' || k AS alias, 'lg' AS target, name || '.size'
 _SHOWN = "coalesce(array_to_string(list_transform(list_filter({0}, lambda x: x.name IS NOT NULL), lambda x: {1}), '; '), '')"
 ORACLES["component_contracts"] = f"""WITH {sql.EXPORTS} SELECT module_id, epos, display_name, {_SHOWN.format('props', "x.name || CASE WHEN x.required THEN '' ELSE '?' END || ': ' || coalesce(x.type, '') || coalesce(' = ' || x.default_value, '')")} AS props,
 coalesce(array_to_string(inherited_props, ', '), '') AS inherited, {_SHOWN.format('events', "x.name || ': ' || coalesce(x.type, '')")} AS events, {_SHOWN.format('slots', "x.name || coalesce(' - ' || x.description, '')")} AS slots FROM ex"""
+_MODULES = """md AS (SELECT DISTINCT ON (module_id) * FROM catalog_modules), xe AS (SELECT * FROM (SELECT module_id, dir, unnest(exports) AS e, unnest(range(len(exports))) AS i FROM md) WHERE e IS NOT NULL)"""
+_EXPORT_KEY = "module_id || '/component.0/export.' || i"
+ORACLES["json_catalog_exports"] = f"WITH {_MODULES} SELECT module_id AS record_id, {_EXPORT_KEY} AS key, coalesce(dir, '') AS dir, coalesce(e.display_name, '') AS display_name, e.tag_name AS tag_name, coalesce(e.description, '') AS description FROM xe"
+ORACLES["json_catalog_props"] = f"""WITH {_MODULES} SELECT module_id AS record_id, {_EXPORT_KEY} AS export_key, CAST(k AS INTEGER) AS pos, coalesce(p.name, '') AS name, coalesce(p.type, 'unknown') AS type, coalesce(p.required, false) AS required, p.default_value AS default_value, p.deprecated AS deprecated
+FROM (SELECT module_id, i, unnest(e.props) AS p, unnest(range(len(e.props))) AS k FROM xe) WHERE p IS NOT NULL"""
+ORACLES["json_all_exports"] = f"WITH {_MODULES} SELECT DISTINCT module_id AS record_id, coalesce(e.display_name, '') AS name FROM xe"
+ORACLES["overlay_checks"] = f"""WITH md AS (SELECT DISTINCT ON (module_id) * FROM catalog_modules), ce AS (SELECT DISTINCT ON (record_id) * FROM custom_elements)
+SELECT 'm/' || module_id AS path, 'no exports array' AS problem FROM md WHERE exports IS NULL UNION ALL SELECT 'm/' || module_id, 'exports[' || i || '] has no displayName' FROM (SELECT module_id, unnest(exports) AS e, unnest(range(len(exports))) AS i FROM md) WHERE e.display_name IS NULL
+UNION ALL SELECT 'e/' || record_id, CASE WHEN NOT json_valid(manifest) THEN 'not valid JSON' WHEN json_type(manifest::JSON) != 'OBJECT' THEN 'not an object' ELSE 'no exports array' END FROM ce WHERE manifest IS NOT NULL"""
+ORACLES["overlay_scaffold"] = f"""WITH ud AS ({ORACLES['undocumented']}), dc AS (SELECT DISTINCT c.system_id, m.class_name AS name FROM ({ORACLES['manifest_exports']}) m JOIN custom_elements c USING (record_id) WHERE m.class_name IS NOT NULL)
+SELECT system_id, name, 'Read the declaration of ' || name || ' and fill in its props.' AS note FROM ud ANTI JOIN dc USING (system_id, name)"""
+ORACLES["catalog_sizes"] = f"""WITH {sql.EXPORTS}, {sql.SYMBOLS}, pn AS (SELECT system_id, p.name AS name FROM (SELECT system_id, unnest(props) AS p FROM ex)), al AS (SELECT system_id, name, true AS s FROM sy WHERE name IS NOT NULL UNION SELECT system_id, name, false FROM pn WHERE name IS NOT NULL)
+SELECT system_id, count(*) FILTER (s) AS n_symbols, count(*) FILTER (NOT s) AS n_prop_names FROM al GROUP BY ALL"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import describe_match
 from ..operators import search
 from ..sources.catalog import Workspace
 from . import sql
@@ -25,6 +26,12 @@ def search_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_components(ws, _requests(ws, _need()))
 
 
+def match_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of search_components with what their first reason says."""
+    hits = search_components(spark, sf_dir)
+    return hits.select("query_id", "rank", describe_match(F.substring_index("matched_on", " | ", 1)).alias("label"))
+
+
 def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed names with their concept as topics, targets as the wanted component."""
     ws = Workspace(spark, sf_dir)
@@ -57,7 +64,7 @@ def all_component_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.component_details(ws, asked.where("query is not null"))
 
 
-QUERIES = {f.__name__: f for f in (search_components, search_docs, search_patterns, resolve_components, component_details, all_component_details)}
+QUERIES = {f.__name__: f for f in (search_components, match_labels, search_docs, search_patterns, resolve_components, component_details, all_component_details)}
 
 _RQ = "rq AS (SELECT alias_id AS query_id, system_id, concat_ws(' ', alias, concept) AS query, target AS component FROM al WHERE alias_id % 20 = 0)"
 _RN = "rq AS (SELECT * FROM (SELECT alias_id AS query_id, system_id, CASE WHEN alias_id % 40 = 0 THEN coalesce(target, alias) ELSE alias END AS query FROM al WHERE alias_id % 20 = 0) WHERE query IS NOT NULL)"
@@ -121,3 +128,5 @@ mk AS (SELECT query_id, string_agg(alias || ' -> ' || target, '; ' ORDER BY pos,
 SELECT query_id, name, CAST(n_props AS INTEGER) AS n_props, CAST(n_events AS INTEGER) AS n_events, CAST(n_slots AS INTEGER) AS n_slots, coalesce(mistakes, '') AS mistakes FROM dt LEFT JOIN mk USING (query_id)""",
 }
 ORACLES["all_component_details"] = ORACLES["component_details"].replace("symbol_id % 20 = 0 AND ", "")
+ORACLES["match_labels"] = f"""SELECT query_id, rank, CASE WHEN r = '' THEN 'match' WHEN r = 'name' THEN 'name match' WHEN r LIKE 'alias:%' THEN 'alias ' || r[7:] WHEN r LIKE 'concept:%' THEN 'concept' WHEN r LIKE 'prop:%' THEN 'prop ' || r[6:] ELSE r END AS label
+FROM (SELECT query_id, rank, string_split(matched_on, ' | ')[1] AS r FROM ({ORACLES['search_components']}))"""

@@ -18,7 +18,7 @@ def manifest_tables(spark: SparkSession, sf_dir: str) -> FlatTables:
     return flatten_records(df, "record_id", F.col("manifest"), MANIFEST)
 
 
-def _text(name: str):
+def text_field(name: str):
     """A payload field if it is a JSON string: quotes show in the raw form of a one-field object."""
     value = F.get_json_object("payload", f"$.{name}")
     is_text = F.schema_of_variant(F.variant_get(F.parse_json("payload"), f"$.{name}", "variant")) == "STRING"
@@ -27,7 +27,7 @@ def _text(name: str):
 
 def _deprecated():
     """`deprecated` for true, the note for a text that is not empty, else null."""
-    told = _text("deprecated")
+    told = text_field("deprecated")
     return F.when(F.get_json_object("payload", "$.deprecated") == "true", "deprecated").when(told != "", told)
 
 
@@ -39,8 +39,8 @@ def elements(tables: FlatTables) -> DataFrame:
     the summary.
     """
     df = tables.rows("declaration").select(
-        "record_id", "key", "places", _text("tagName").alias("tag_name"), _text("name").alias("class_name"),
-        F.coalesce(F.when(_text("description") != "", _text("description")), _text("summary"), F.lit("")).alias("description"),
+        "record_id", "key", "places", text_field("tagName").alias("tag_name"), text_field("name").alias("class_name"),
+        F.coalesce(F.when(text_field("description") != "", text_field("description")), text_field("summary"), F.lit("")).alias("description"),
         _deprecated().alias("deprecated"), (F.get_json_object("payload", "$.customElement") == "true").alias("custom"),
     )
     df = df.where("custom or tag_name is not null")
