@@ -61,17 +61,18 @@ def valleys(text: str, places: list[int], block: int = 3) -> list[float]:
     ends = [0, *places, len(text)]
     units = [Counter(_WORD.findall(text[a:b].lower())) for a, b in zip(ends, ends[1:])]
     n = len(units)
-    near = [[sum(v * units[j][w] for w, v in units[i].items() if w in units[j]) if units[i] else 0 for j in range(i, min(n, i + 2 * block))] for i in range(n)]
+    alike = lambda a, b: sum([a[w] * b[w] for w in a.keys() & b.keys()]) if a and b else 0
+    near = [[alike(units[i], units[j]) for j in range(i, min(n, i + 2 * block))] for i in range(n)]
     worded = [0, *accumulate(map(bool, units))]
 
     def norm(a: int, b: int) -> int:
-        return sum(near[i][j - i] * (1 if i == j else 2) for i in range(a, b) for j in range(i, b))
+        return sum([near[i][0] + 2 * sum(near[i][1 : b - i]) for i in range(a, b)])
 
     sim = []
     for g in range(1, n):
         a, b = max(0, g - block), min(n, g + block)
         both = norm(a, g) * norm(g, b) if worded[a] < worded[g] < worded[b] else 0
-        sim.append(sum(near[i][j - i] for i in range(a, g) for j in range(g, b)) / math.sqrt(both) if both else 0.0)
+        sim.append(sum([sum(near[i][g - i : b - i]) for i in range(a, g)]) / math.sqrt(both) if both else 0.0)
     left, right = list(sim), list(sim)  # the peak on either side: where the similarity stops rising
     for g in range(1, len(sim)):
         if sim[g - 1] >= sim[g]:
