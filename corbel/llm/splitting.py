@@ -59,10 +59,12 @@ def valleys(text: str, places: list[int], block: int = 3) -> list[float]:
     either side; its depth, how far it lies below the peaks left and right of it.
     """
     ends = [0, *places, len(text)]
-    units = [Counter(_WORD.findall(text[a:b].lower())) for a, b in zip(ends, ends[1:])]
+    blank: Counter = Counter()
+    units = [Counter(found) if (found := _WORD.findall(text[a:b].lower())) else blank for a, b in zip(ends, ends[1:])]
     n = len(units)
     alike = lambda a, b: sum([a[w] * b[w] for w in a.keys() & b.keys()]) if a and b else 0
-    near = [[alike(units[i], units[j]) for j in range(i, min(n, i + 2 * block))] for i in range(n)]
+    nothing = [0] * (2 * block)
+    near = [[alike(units[i], units[j]) for j in range(i, min(n, i + 2 * block))] if units[i] else nothing for i in range(n)]
     worded = [0, *accumulate(map(bool, units))]
 
     def norm(a: int, b: int) -> int:
@@ -71,7 +73,10 @@ def valleys(text: str, places: list[int], block: int = 3) -> list[float]:
     sim = []
     for g in range(1, n):
         a, b = max(0, g - block), min(n, g + block)
-        both = norm(a, g) * norm(g, b) if worded[a] < worded[g] < worded[b] else 0
+        if not worded[a] < worded[g] < worded[b]:
+            sim.append(0.0)
+            continue
+        both = norm(a, g) * norm(g, b)
         sim.append(sum([sum(near[i][g - i : b - i]) for i in range(a, g)]) / math.sqrt(both) if both else 0.0)
     left, right = list(sim), list(sim)  # the peak on either side: where the similarity stops rising
     for g in range(1, len(sim)):
