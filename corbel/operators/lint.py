@@ -11,7 +11,7 @@ from ..session import stage
 from ..sources.catalog import Workspace
 from ..sources.markup import elements, imported, language
 from .merge import first_by
-from .tokens import nearest_colors, nearest_lengths
+from .tokens import nearest_colors, nearest_lengths, resolved_values
 
 # Fixed value: what a style entry is if it is a raw colour or length as a whole.
 RAW_VALUE = r"(?i)^(#([0-9a-f]{8}|[0-9a-f]{6}|[0-9a-f]{4}|[0-9a-f]{3})|(rgba?|hsla?)\([^)]*\)|-?\d*\.?\d+px)$"
@@ -115,7 +115,8 @@ def check_raw_values(ws: Workspace, els: DataFrame) -> DataFrame:
     parts = F.transform(raw_values(F.col("a.value")), lambda v: F.struct(F.col("a.name").alias("where"), v.alias("raw")))
     found = attrs.where("a.value is not null").withColumn("r", F.explode(F.when(one, whole).otherwise(parts))).select("*", "r.where", "r.raw")
     asked = found.select("system_id", F.col("raw").alias("query")).distinct().withColumn("query_id", F.xxhash64("system_id", "query"))
-    near = nearest_colors(ws.tokens, asked, 1).select("query_id", "token_id").unionByName(nearest_lengths(ws.tokens, asked, 1).select("query_id", "token_id"))
+    asked, values = stage(asked, "raw-values"), stage(resolved_values(ws.tokens), "values")
+    near = nearest_colors(ws.tokens, asked, 1, values).select("query_id", "token_id").unionByName(nearest_lengths(ws.tokens, asked, 1, values).select("query_id", "token_id"))
     write = F.when(F.col("css_var").isNotNull(), F.concat(F.lit("use var("), "css_var", F.lit(")"))).otherwise(F.concat(F.lit("use "), "name"))
     fixes = near.join(ws.tokens.select("token_id", write.alias("fix")), "token_id").select("query_id", F.col("fix").alias("_fix"))
     rows = found.withColumn("query_id", F.xxhash64("system_id", "raw")).join(fixes, "query_id", "left")

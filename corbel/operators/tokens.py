@@ -15,21 +15,24 @@ _VAR = r"^var\((--[\w-]+)\)$"
 
 
 def resolved_values(tokens: DataFrame, hops: int = 5) -> DataFrame:
-    """token_id, system_id, category, theme_pos, theme, value: each token's value by default and per theme.
+    """token_id, system_id, category, pos, theme_pos, theme, value: each token's value by default and per theme.
 
     A value var(--x) is replaced by that of the token with this css variable, in
     the same theme if it has one, over at most `hops` links. A link to nowhere, to
     itself, or one more than that gives no row; so does a null value. theme_pos
     counts from 1, the default has 0 and a null theme.
     """
+    keep = ["token_id", "system_id", "category", "pos"]
+    tokens = stage(tokens.select(*keep, "css_var", "value", "values_by_theme"), "tokens")
     themed = F.coalesce("values_by_theme", F.array().cast("array<struct<theme:string,value:string>>"))
     ways = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("theme"), F.col("value"))), themed)
-    state = tokens.select("token_id", "system_id", "category", F.posexplode(ways).alias("theme_pos", "w")).select(
-        "token_id", "system_id", "category", "theme_pos", "w.theme", F.coalesce("w.value", F.lit(None)).alias("value"), F.col("token_id").alias("at")
+    state = tokens.select(*keep, F.posexplode(ways).alias("theme_pos", "w")).select(
+        *keep, "theme_pos", "w.theme", F.coalesce("w.value", F.lit(None)).alias("value"), F.col("token_id").alias("at")
     )
     index = tokens.where("css_var is not null").groupBy(F.col("system_id").alias("_system"), F.col("css_var").alias("_css")).agg(
         F.min_by(F.struct("token_id", "value", "values_by_theme"), F.struct("pos", "token_id")).alias("_t")
     )
+    index = stage(index, "css-variables")
     link = F.regexp_extract(F.trim("value"), _VAR, 1)
     linked = F.coalesce(link, F.lit("")) != ""
     done = state.where(~linked)
@@ -40,10 +43,10 @@ def resolved_values(tokens: DataFrame, hops: int = 5) -> DataFrame:
             break
         joined = going.withColumn("_link", link).join(index, (F.col("_link") == F.col("_css")) & (F.col("system_id") == F.col("_system")))
         own = F.get(F.filter("_t.values_by_theme", lambda v: v["theme"] == F.col("theme")), F.lit(0))["value"]
-        now = joined.where(F.col("_t.token_id") != F.col("at")).select("token_id", "system_id", "category", "theme_pos", "theme", F.coalesce(own, "_t.value").alias("value"), F.col("_t.token_id").alias("at"))
+        now = joined.where(F.col("_t.token_id") != F.col("at")).select(*keep, "theme_pos", "theme", F.coalesce(own, "_t.value").alias("value"), F.col("_t.token_id").alias("at"))
         now = stage(now, "linked")
         done, going = done.unionByName(now.where(~linked)), now.where(linked)
-    return done.where("value is not null").select("token_id", "system_id", "category", "theme_pos", "theme", "value")
+    return done.where("value is not null").select(*keep, "theme_pos", "theme", "value")
 
 
 def _asked(requests: DataFrame) -> DataFrame:
@@ -69,10 +72,10 @@ def _nearest(requests: DataFrame, points: DataFrame, cell, distance, width: floa
     requests(query_id, grp, wanted), points(grp, token_id, pos, theme_pos, theme,
     place). Equal requests are answered once, and of the tokens at one place only
     the first `limit` can be among the nearest. Space is cut into cells of a width;
-    cell(column) gives a place's coordinates. A request first meets the cells next
-    to its own, then those up to three away: if its last token is no farther than
-    these reach in every direction, none outside is nearer. Only requests that are
-    still open meet all places of their group.
+    cell(column) gives a place's coordinates. A request first meets its own cell and
+    those next to it: if its last token is no farther than these reach in every
+    direction, none outside is nearer. Only requests that are still open, as in
+    groups with few places, meet all places of their group.
     """
     at = ["grp", "place"]
     tokens = points.groupBy(*at, "pos", "token_id").agg(F.min(F.struct("theme_pos", "theme")).alias("w"))
@@ -82,7 +85,7 @@ def _nearest(requests: DataFrame, points: DataFrame, cell, distance, width: floa
     asked = requests.select("grp", "wanted").distinct()
     dimensions = 1 if dict(requests.dtypes)["wanted"] == "double" else 3
     found, open_ = None, stage(asked.withColumn("own", cell(F.col("wanted"))), "asked")
-    for reach in (1, 3, None):
+    for reach in (1, None):
         if reach is None:
             met = open_.join(kept, "grp")
         else:
@@ -102,31 +105,31 @@ def _nearest(requests: DataFrame, points: DataFrame, cell, distance, width: floa
     return requests.join(found.drop("own"), ["grp", "wanted"]).select("query_id", "rank", "token_id", F.round("distance", 6).alias("distance"), "theme")
 
 
-def nearest_colors(tokens: DataFrame, requests: DataFrame, limit: int = 6) -> DataFrame:
+def nearest_colors(tokens: DataFrame, requests: DataFrame, limit: int = 6, resolved: DataFrame | None = None) -> DataFrame:
     """query_id, rank, token_id, distance, theme for requests(query_id, system_id, query[, category]) that are colours.
 
     Only colour tokens compete, each with its nearest theme, the first of equal
     ones; a request for another category has none. Queries that are no colour have
-    no rows; ties go by position and id.
+    no rows; ties go by position and id. resolved may hold the tokens' resolved_values.
     """
     asked = _asked(requests).where("category is null or category = 'color'").select("query_id", F.col("system_id").alias("grp"), parse_color(F.col("query")).alias("wanted")).where("wanted is not null")
-    ways = resolved_values(tokens).where("category = 'color'").select(F.col("system_id").alias("grp"), "token_id", "theme_pos", "theme", parse_color(F.col("value")).alias("place")).where("place is not null")
-    points = ways.join(tokens.select("token_id", "pos"), "token_id")
-    return _nearest(asked, points, lambda c: F.array(*[F.floor(c[k] / 32).cast("int") for k in "rgb"]), color_distance, 32, limit)
+    values = stage(resolved_values(tokens), "values") if resolved is None else resolved
+    points = values.where("category = 'color'").select(F.col("system_id").alias("grp"), "token_id", "pos", "theme_pos", "theme", parse_color(F.col("value")).alias("place")).where("place is not null")
+    return _nearest(asked, points, lambda c: F.array(*[F.floor(c[k] / 64).cast("int") for k in "rgb"]), color_distance, 64, limit)
 
 
-def nearest_lengths(tokens: DataFrame, requests: DataFrame, limit: int = 6) -> DataFrame:
+def nearest_lengths(tokens: DataFrame, requests: DataFrame, limit: int = 6, resolved: DataFrame | None = None) -> DataFrame:
     """query_id, rank, token_id, distance for requests(query_id, system_id, query[, category]) that are lengths.
 
     Space, size and radius tokens, or those of them that are asked for, compete
-    with their default value.
+    with their default value. resolved may hold the tokens' resolved_values.
     """
     group = lambda category: F.struct("system_id", category.alias("category"))
     asked = _asked(requests).select("query_id", group(F.coalesce("category", F.lit("*"))).alias("grp"), parse_px(F.col("query")).alias("wanted")).where("wanted is not null")
-    px = resolved_values(tokens).where("theme_pos = 0 and category in ('space', 'size', 'radius')").withColumn("category", F.explode(F.array(F.lit("*"), "category")))
-    px = px.select(group(F.col("category")).alias("grp"), "token_id", "theme_pos", "theme", parse_px(F.col("value")).alias("place")).where("place is not null")
-    points = px.join(tokens.select("token_id", "pos"), "token_id")
-    return _nearest(asked, points, lambda c: F.array(F.floor(c / 8).cast("int")), lambda a, b: F.abs(a - b), 8, limit).drop("theme")
+    values = stage(resolved_values(tokens), "values") if resolved is None else resolved
+    px = values.where("theme_pos = 0 and category in ('space', 'size', 'radius')").withColumn("category", F.explode(F.array(F.lit("*"), "category")))
+    points = px.select(group(F.col("category")).alias("grp"), "token_id", "pos", "theme_pos", "theme", parse_px(F.col("value")).alias("place")).where("place is not null")
+    return _nearest(asked, points, lambda c: F.array(F.floor(c / 16).cast("int")), lambda a, b: F.abs(a - b), 16, limit).drop("theme")
 
 
 def find_tokens(tokens: DataFrame, requests: DataFrame, limit: int = 6) -> DataFrame:
@@ -135,10 +138,11 @@ def find_tokens(tokens: DataFrame, requests: DataFrame, limit: int = 6) -> DataF
     A colour finds the nearest colours, a length the nearest lengths (score is the
     distance), anything else the tokens by words (score is theirs).
     """
-    requests = _asked(requests)
+    requests = stage(_asked(requests), "requests")
+    values = stage(resolved_values(tokens), "values")
     color, px = parse_color(F.col("query")).isNotNull(), parse_px(F.col("query")).isNotNull()
     shaped = lambda df, how, score: df.select("query_id", "rank", "token_id", F.lit(how).alias("how"), F.col(score).cast("double").alias("score"))
-    out = shaped(nearest_colors(tokens, requests, limit), "color", "distance").unionByName(shaped(nearest_lengths(tokens, requests.where(~color), limit), "length", "distance"))
+    out = shaped(nearest_colors(tokens, requests, limit, values), "color", "distance").unionByName(shaped(nearest_lengths(tokens, requests.where(~color), limit, values), "length", "distance"))
     return out.unionByName(shaped(tokens_by_words(tokens, requests.where(~color & ~px), limit), "words", "score"))
 
 
