@@ -100,15 +100,22 @@ def _one_layer(run: list[tuple], text: str) -> list[tuple]:
     return run
 
 
-def _read(raw: bytes, enc: str, lost: str | None) -> str | None:
-    """raw in enc; what enc does not define becomes its control character, or `lost`."""
-    out = []
-    for b in raw:
+@lru_cache(None)
+def _shown_as(enc: str) -> list[str | None]:
+    """The character of each single byte in an encoding."""
+    out: list[str | None] = []
+    for b in range(256):
         try:
             out.append(bytes([b]).decode(enc))
         except UnicodeDecodeError:
-            out.append(chr(b) if lost is None else lost)
-    return "".join(out)
+            out.append(None)
+    return out
+
+
+def _read(raw: bytes, enc: str, lost: str | None) -> str:
+    """raw in enc; what enc does not define becomes its control character, or `lost`."""
+    shown = _shown_as(enc)
+    return "".join([shown[b] or (chr(b) if lost is None else lost) for b in raw])
 
 
 @lru_cache(1)
