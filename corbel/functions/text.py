@@ -75,6 +75,7 @@ def literal_union(c: Column) -> Column:
 
 def raw_values(c: Column) -> Column:
     """Raw colours, colour functions and bracketed px lengths in a text, each once."""
+    # The three forms.
     hexes = F.regexp_extract_all(c, F.lit(r"(#(?:[0-9a-fA-F]{8}|[0-9a-fA-F]{6}|[0-9a-fA-F]{4}|[0-9a-fA-F]{3}))(?![0-9A-Za-z_])"), 1)
     calls = F.regexp_extract_all(c, F.lit(r"(?i)(?<![0-9A-Za-z_])((?:rgba?|hsla?)\([^)]*\))"), 1)
     lengths = F.regexp_extract_all(c, F.lit(r"\[[^\]]*?(-?\d*\.?\d+px)[^\]]*?\]"), 1)

@@ -56,6 +56,7 @@ def undocumented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ws = Workspace(spark, sf_dir)
     symbols = ws.symbols.where("removed_at is null and name is not null").groupBy("system_id", "name").agg(F.max("is_type_only").alias("is_type_only"))
+    # How names of types end.
     like_type = F.col("name").rlike("(Props|Variant|Size|State|Status|Appearance|Padding|Position|Type|Name|Platform)$")
     value = F.col("name").rlike("^[A-Z][A-Za-z0-9]*$") & F.coalesce(~F.col("is_type_only"), ~like_type)
     return symbols.where(value).join(ws.exports.select("system_id", F.col("display_name").alias("name")).distinct(), ["system_id", "name"], "left_anti").select("system_id", "name")

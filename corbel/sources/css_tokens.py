@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import category_by_name
 
 _COMMENT = re.compile(r"/\*.*?\*/", re.S)
+# Fixed value: what is a token in a rule.
 _DECLARED = re.compile(r"--([A-Za-z0-9_-]+)\s*:\s*([^;]+);")
 # How a selector tells its theme, in the order they are tried.
 _THEME = [re.compile(p, re.I) for p in (r"""\[data-theme\s*=\s*["']?([\w-]+)["']?\]""", r"\.([\w-]+)-theme\b")]
