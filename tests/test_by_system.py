@@ -56,3 +56,25 @@ def test_a_word_of_every_token_is_not_met_by_every_request():
     assert len(by.kinds) == 4 and sum(map(len, by.first)) == 24 and not any(by.best) and len(listed.first[None, "all"]) == 40
     assert list(by.answers())[:7] == [(0, r, 4 * (r - 1), 60) for r in range(1, 7)] + [(1, 1, 1, 60)]
     assert [t for q, _, t, _ in listed.answers() if q == 399] == list(range(40))
+
+
+def test_colors_of_a_dense_system(spark, monkeypatch):
+    """Narrow cells give what a look at all colours gives."""
+    rng = random.Random(4)
+    shade = lambda: tuple(rng.choice([rng.randrange(256), rng.randrange(40)]) for _ in range(3))
+    colors, wanted = [shade() for _ in range(400)], [shade() for _ in range(30)] + [(0, 0, 0), (255, 255, 255)]
+    css = lambda c: "#%02x%02x%02x" % c
+    schema = "token_id long, system_id string, pos int, css_var string, value string, values_by_theme array<struct<theme:string,value:string>>, category string"
+    tokens = spark.createDataFrame([(i, "s" if i < 390 else "few", i % 7, None, css(c), None, "color") for i, c in enumerate(colors)], schema)
+    asked = spark.createDataFrame([(q, s, css(c), None) for q, (s, c) in enumerate((s, c) for s in ("s", "few") for c in wanted)], ASKED)
+    monkeypatch.setattr(ops, "DENSE", 100)
+    monkeypatch.setattr(ops, "_color_width", lambda places: places * 0 + 16.0)
+    monkeypatch.setattr(ops, "_color_width", lambda places: places * 0 + 16.0)
+    seen, stage = [], ops.stage
+    monkeypatch.setattr(ops, "stage", lambda df, name: seen.append((name, out := stage(df, name))) or out)
+    got = {(q, r): i for q, r, i, *_ in rows(ops.nearest_colors(tokens, asked))}
+    for q, (s, c) in enumerate((s, c) for s in ("s", "few") for c in wanted):
+        own = range(390) if s == "s" else range(390, 400)
+        want = sorted(own, key=lambda i: (sum((a - b) ** 2 for a, b in zip(colors[i], c)), i % 7, i))[:6]
+        assert [got[q, r] for r in range(1, 7)] == want
+    assert [rows(df) for name, df in seen if name == "dense"] == [[("s", 16.0)]]
